@@ -21,8 +21,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sentencepiece": op7_sentencepiece}
+    return {"op7_sentencepiece": op7_sentencepiece, "op10_near_duplicates": op10_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
