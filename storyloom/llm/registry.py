@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.llm._common import table
 
@@ -15,6 +16,23 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23 under the law `rows`; the method keeps no groups together."""
+    from storyloom.llm.sharding import stratified_shards
+
+    placed = stratified_shards(table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        (F.col("bytes") + 8).alias("size"),
+        F.col("crc").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "source",
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.llm.pieces import encode_documents
 
@@ -28,7 +46,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sentencepiece": op7_sentencepiece, "op10_near_duplicates": op10_near_duplicates}
+    return {
+        "op6_stratified_shards": op6_stratified_shards,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op10_near_duplicates": op10_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
