@@ -39,6 +39,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.llm.multiindex import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.llm.neardup import near_duplicates
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_stratified_shards": op6_stratified_shards,
         "op7_sentencepiece": op7_sentencepiece,
+        "op9_neighbours": op9_neighbours,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
