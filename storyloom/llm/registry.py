@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import table
+from storyloom.llm._common import scratch_path, table
 
 
 def piece_model() -> str:
@@ -39,6 +39,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.llm.warc import read_archives, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.llm.multiindex import neighbours
 
@@ -55,10 +63,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_stratified_shards": op6_stratified_shards,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_warc": op8_warc,
         "op9_neighbours": op9_neighbours,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+w AS (SELECT h, max(page_id) AS winner FROM d WHERE n >= 1000 GROUP BY h)
+SELECT d.page_id, d.n::BIGINT AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN w.winner <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN w.winner <> d.page_id THEN w.winner END AS refers_to, NULL::VARCHAR AS problem
+FROM d LEFT JOIN w ON d.h = w.h AND d.n >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
