@@ -89,7 +89,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Separators of plain words: all ASCII but letters and digits. Other characters belong to words.
+PLAIN = np.zeros(256, bool)
+PLAIN[:128] = [not chr(c).isalnum() for c in range(128)]
+
+
+def word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a text's UTF-8 bytes: the words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, as 64-bit hashes with their starts and ends.
 
     The hash is a polynomial over the bytes modulo 2^64, taken from prefix sums, then mixed; equal words have equal hashes.
@@ -98,7 +103,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), e, e
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edge[0::2], edge[1::2]
     up, down = _powers(n + 1)

@@ -16,6 +16,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item found in it; documents without a row are clean."""
+    from storyloom.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law `rows`; the method keeps no groups together."""
     from storyloom.llm.sharding import stratified_shards
@@ -61,6 +68,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontamination": op5_decontamination,
         "op6_stratified_shards": op6_stratified_shards,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_warc": op8_warc,
