@@ -16,6 +16,20 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, weak-label posterior, scorer's score and decision for each document."""
+    from storyloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and decision for each document."""
+    from storyloom.llm.toxicity import severity
+
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item found in it; documents without a row are clean."""
     from storyloom.llm.decontam import contaminated
@@ -68,6 +82,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_stratified_shards": op6_stratified_shards,
         "op7_sentencepiece": op7_sentencepiece,
