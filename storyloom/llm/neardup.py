@@ -7,9 +7,10 @@ first. Bands of bins make bucket keys.
 
 Documents with equal sets are one class, dealt with by its smallest id. In each bucket every class is compared with
 the bucket's smallest id alone: a star has as many edges as members. Candidates are confirmed on their full sets.
-A star can miss a link between two of its leaves, so buckets that still hold several components go on with more
-centres, four times as many each round, until one component is left or all members have been centres. The work
-beyond the first star thus goes only to pairs that no chain of confirmed links joins, and no pair is left out.
+A star can miss a link between two of its leaves, so the buckets that still hold several components are compared
+exhaustively, in blocks of bounded size within a task: the intersections of a block's sets are one matrix product,
+and only links that join components leave the task. No pair that shares a bucket is left out, and pairs are never
+rows of a table except in stars. Buckets with the same members are compared once.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
 fewer than k words has its whole sequence as one shingle; rows that share an id are one document with all their
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, drop, mix64, shingle_hashes, utf8_arrays, word_hashes
+from storyloom.llm._common import cut, mix64, shingle_hashes, utf8_arrays, word_hashes
 from storyloom.llm.graphs import components
 
 #: Rows (bins) of a band and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^36 < 1e-8.
 ROWS, BANDS = 4, 36
+#: Members of a block; two blocks are compared at once.
+BLOCK = 400
 
 
 def _borrowing_order(bins: int) -> np.ndarray:
@@ -89,17 +92,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[bytes, np.ndarray] = {}
+        recent: dict[bytes, frozenset] = {}
+        held = 0
         for batch in batches:
             keep = []
             for x, y in zip(utf8_arrays(batch.column(2)), utf8_arrays(batch.column(3))):
-                if (s := recent.get(key := x.tobytes())) is None:
-                    if len(recent) >= 8:
-                        recent.clear()
-                    s = recent[key] = shingle_hashes(word_hashes(x)[0], k)
-                t = shingle_hashes(word_hashes(y)[0], k)
-                both = int(np.isin(t, s, assume_unique=True).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+                sets = []
+                for text in (x, y):
+                    if (s := recent.get(key := text.tobytes())) is None:
+                        s = frozenset(shingle_hashes(word_hashes(text)[0], k).tolist())
+                        held += len(s)
+                        if held > 500_000:  # shingles kept; the sets of one text may be more
+                            recent, held = {}, len(s)
+                        recent[key] = s
+                    sets.append(s)
+                both = len(sets[0] & sets[1])
+                keep.append(both > 0 and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -108,6 +116,85 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def block_links(labels: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of linked pairs with different labels; of the links between two labels, as many as join them."""
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner: dict = {x: x for x in labels}
+
+    def find(x):  # noqa: ANN001, ANN202
+        while owner[x] != x:
+            owner[x] = owner[owner[x]]
+            x = owner[x]
+        return x
+
+    codes = np.unique(np.array([str(x) for x in labels]), return_inverse=True)[1]
+    possible = np.triu(codes[:, None] != codes[None, :], 1)
+    possible &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    out = []
+    if not possible.any():
+        return out
+    if m <= 16:
+        frozen = [frozenset(x.tolist()) for x in sets]
+        pairs = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(possible))) if 100 * (n := len(frozen[i] & frozen[j])) >= percent * (sizes[i] + sizes[j] - n)]
+    else:
+        whole = np.concatenate(sets)
+        _, column, count = np.unique(whole, return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(m), sizes), count[column] >= 2
+        row, column = row[shared], (np.cumsum(count >= 2) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((m, m), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [first, first + 4096])
+            part = np.zeros((m, 4096), np.float32)
+            part[row[lo:hi], column[lo:hi] - first] = 1
+            common += part @ part.T
+        n = common.astype(np.int64)
+        linked = possible & (100 * n >= percent * (sizes[:, None] + sizes[None, :] - n))
+        pairs = zip(*(x.tolist() for x in np.nonzero(linked)))
+    for i, j in pairs:
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            owner[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def _compared(active: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b between members of different labels in the active buckets (bucket, rep, label, size).
+
+    A bucket's members are dealt to blocks by a hash, and every two blocks meet in one run of a sorted partition.
+    """
+    kind = active.schema["rep"].dataType.simpleString()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = active.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label")
+    rows = placed.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "rep", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, labels, sets = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = block_links(labels, sets, percent) if len(reps) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([reps[p[e]] for p in found], id_type) for e in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            id_type = batch.column(3).type
+            keys = zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))
+            for now, rep, label, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), utf8_arrays(batch.column(5))):
+                if now != key:
+                    if key is not None and (out := links()).num_rows:
+                        yield out
+                    key, reps, labels, sets = now, [], [], []
+                reps.append(rep)
+                labels.append(label)
+                sets.append(shingle_hashes(word_hashes(text)[0], k))
+        if key is not None:
+            yield links()
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id)."""
     docs = docs.select(F.col(id_column), F.col(text_column))
@@ -131,29 +218,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     tried = cut(members.where("rep <> centre").where(alike_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = cut(_confirmed(tried, texts, k, percent).unionByName(forced), "links")
-    labels, step = cut(components(links, "a", "b"), "labels"), 0
-    while True:
-        step += 1
-        labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", "size", F.coalesce("label", "rep").alias("label"))
-        if step > 1:  # of smaller buckets all members have been centres
-            labelled = labelled.where(F.col("size") > 4 ** (step - 1))
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        active = cut(labelled.join(split, "bucket"), "active")
-        if active.isEmpty():
-            break
-        # a member is a centre if its hash ends in so many zeros that about 4^step members of the bucket are
-        zeros = F.greatest(F.ceil(F.log2("size")).cast("int") - 2 * step, F.lit(0))
-        centre = F.xxhash64("rep").bitwiseAND(F.expr("shiftleft(1L, z) - 1")) == 0
-        centres = active.withColumn("z", zeros).where(centre).select("bucket", F.col("rep").alias("c"), F.col("n").alias("c_n"), F.col("label").alias("c_label"))
-        crossing = active.join(centres, "bucket").where("label <> c_label").where(alike_in_size("n", "c_n"))
-        pairs = crossing.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        drop(active)
-        found = cut(_confirmed(pairs, texts, k, percent), "links")
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = cut(components(links, "a", "b"), "labels")
+    labels = cut(components(links, "a", "b"), "labels")
+    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"))
+    once = split.where("x < y").groupBy("m", "p", "q").agg(F.min("bucket").alias("bucket")).select("bucket")
+    found = cut(_compared(labelled.join(once, "bucket"), texts, k, percent), "links")
+    if not found.isEmpty():
+        labels = cut(components(links.unionByName(found), "a", "b"), "labels")
     groups = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     component = F.coalesce("component", "id")
     out = sigs.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left")
