@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: STAGES, each written as Parquet and read again by run()."""
+"""A training-data pipeline over `documents`: STAGES, each written as Parquet and read again by run().
+
+Quality classifier and toxicity drop what they reject, near duplicates leave one document of each group,
+decontamination drops documents that hold test items, and the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import registry
 from storyloom.llm._common import cut, table
+from storyloom.llm.decontam import without_hits
+from storyloom.llm.neardup import deduplicated
+from storyloom.llm.pieces import encode_documents
+from storyloom.llm.quality import keep_good
+from storyloom.llm.toxicity import keep_clean
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids and round trip of every document kept."""
-    from storyloom.llm.pieces import encode_documents
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the weakly supervised scorer keeps."""
+    return keep_good(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the ordinal regression, fitted on the labelled ones among them, grades 0."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8."""
+    return deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item is found."""
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids and round trip of every document left."""
     return encode_documents(docs, registry.piece_model())
 
 
-STAGES = [("sentencepiece", encode)]
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("sentencepiece", encode)]
 
-#: The classifiers and the piece agenda are beyond SQL; the tests compare with brute force.
+#: The classifiers, the densified signatures and the piece agenda are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

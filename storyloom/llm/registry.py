@@ -23,6 +23,26 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair for each conversation with an assistant turn: prompt, completions and their trained spans (start-end)."""
+    from storyloom.llm.preferences import format_pairs, with_stale_reply
+
+    found = format_pairs(with_stale_reply(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return found.select(
+        F.col("key").alias("conv_id"), "common_turns", "prompt", "chosen", spans("chosen_spans").alias("chosen_spans"), "rejected", spans("rejected_spans").alias("rejected_spans")
+    )
+
+
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good; background: all documents."""
+    from storyloom.llm.xent import cross_entropy_difference
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, grade and decision for each document."""
     from storyloom.llm.toxicity import severity
@@ -83,6 +103,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_preferences": op2_preferences,
+        "op3_cross_entropy": op3_cross_entropy,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_stratified_shards": op6_stratified_shards,
@@ -104,5 +126,25 @@ FROM d LEFT JOIN w ON d.h = w.h AND d.n >= 1000
 """
 
 
+OP2_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n,
+                  coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, n, text, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS back FROM t WHERE role = 'assistant'),
+l AS (SELECT x.conv_id, x.n AS last, x.text AS reply, coalesce(y.text, f.text) AS stale
+      FROM a x LEFT JOIN a y ON y.conv_id = x.conv_id AND y.back = 2 JOIN t f ON f.conv_id = x.conv_id AND f.n = 1 WHERE x.back = 1),
+p AS (SELECT l.conv_id, string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n) FILTER (t.n < l.last) AS before,
+             string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n) FILTER (t.n <= l.last) AS whole
+      FROM l JOIN t ON t.conv_id = l.conv_id GROUP BY 1)
+SELECT l.conv_id, (CASE WHEN reply = stale THEN last ELSE last - 1 END)::INTEGER AS common_turns,
+       CASE WHEN reply = stale THEN whole ELSE coalesce(before, '') END AS prompt,
+       CASE WHEN reply = stale THEN '' ELSE '<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
+       CASE WHEN reply = stale THEN '' ELSE '14-' || (length(reply) + 22) END AS chosen_spans,
+       CASE WHEN reply = stale THEN '' ELSE '<|assistant|>' || chr(10) || stale || '<|end|>' || chr(10) END AS rejected,
+       CASE WHEN reply = stale THEN '' ELSE '14-' || (length(stale) + 22) END AS rejected_spans
+FROM l JOIN p USING (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op2_preferences": OP2_SQL, "op8_warc": OP8_SQL}
