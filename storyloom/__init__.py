@@ -1,0 +1 @@
+"""Analytics over streams of text documents, on DataFrames, Spark SQL and Structured Streaming."""
