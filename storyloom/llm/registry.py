@@ -39,7 +39,8 @@ def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.llm.xent import cross_entropy_difference
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    # labels grow with the documents: one plan at all sizes, the one for labels that can't be broadcast
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
     return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
