@@ -132,7 +132,11 @@ PROFILES = {"de": "der die und den das von mit ist nicht ein", "en": "the of and
 def detect_language(c: Column, declared: Column | None = None, least: int = 60) -> Column:
     """The language with the most function words; a short text has the declared code, `und` without one."""
     words = F.split(F.lower(collapse(c)), " ")
-    scores = [F.struct(F.size(F.filter(words, lambda w, p=p: w.isin(p.split()))).alias("n"), F.lit(lang).alias("lang")) for lang, p in PROFILES.items()]
+
+    def hits(profile: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(profile.split())))
+
+    scores = [F.struct(hits(p).alias("n"), F.lit(lang).alias("lang")) for lang, p in PROFILES.items()]
     best = F.sort_array(F.array(*scores), asc=False)[0]
     code = F.when(declared.rlike("^[a-zA-Z]{2,3}$"), F.lower(declared)) if declared is not None else F.lit(None)
     return F.when((F.length(c) >= least) & (best["n"] > 0), best["lang"]).otherwise(F.coalesce(code, F.lit("und")))

@@ -157,4 +157,4 @@ def replay(articles: DataFrame, scorer: dict[str, float] = fixed.STORY_SCORER, w
             out.append((row.id, chosen, p))
         return pd.DataFrame(out, columns=["id", "story_id", "probability"]).astype({"probability": "float64"})
 
-    return articles.groupBy(F.lit(1)).applyInPandas(assign, "id long, story_id long, probability double")
+    return articles.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(assign, "id long, story_id long, probability double")

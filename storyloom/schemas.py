@@ -39,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-START = "2024-01-01 00:00:00"
+#: Seconds of 2024-01-01 00:00 UTC.
+START = 1_704_067_200
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("body", collapse(F.col("text")))
     i = F.col("doc_id")
-    discovered = F.timestamp_seconds(F.unix_timestamp(F.lit(START).cast("timestamp")) + i * 420)
+    discovered = F.timestamp_seconds(START + i * 420)
     d = d.select(
         i.alias("id"), "lang", F.col("source").alias("source_id"), "body", discovered.alias("discovered_at"),
         F.left("body", F.lit(160)).alias("title"), F.left("body", F.lit(1000)).alias("lede"), F.sha2("body", 256).alias("content_hash"),
@@ -90,7 +91,7 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("hn", "github", "lobsters", "stackexchange"), thread % 4).alias("platform"),
         F.concat(F.lit("forum"), (thread % 9).cast("string")).alias("source_id"),
         F.when((thread + turn) % 13 != 0, F.concat("role", F.lit("-"), (thread % 37).cast("string"))).alias("author_hash"),
-        F.timestamp_seconds(F.unix_timestamp(F.lit(START).cast("timestamp")) + thread * 660 + turn * 60).alias("observed_at"),
+        F.timestamp_seconds(START + thread * 660 + turn * 60).alias("observed_at"),
         ((thread * 31 + turn) % 60 - 5).alias("points"), (F.col("last") - turn).alias("comments"), F.when(turn == 0, thread % 8).alias("reactions"),
         p.alias("p_problem"),
         pick(("bug_or_reliability", "cost_or_performance", "missing_capability", "workflow_friction"), (thread + turn) % 4).alias("category"),
@@ -101,4 +102,4 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of(spark: SparkSession, sf_dir: str) -> F.Column:
     """The latest discovery, as a literal: never the wall clock. One aggregate over the ids."""
     last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
-    return F.timestamp_seconds(F.unix_timestamp(F.lit(START).cast("timestamp")) + F.lit(last) * 420)
+    return F.timestamp_seconds(F.lit(START + last * 420))

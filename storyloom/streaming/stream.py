@@ -16,6 +16,14 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table folder/name, a file or a folder of files, as a stream."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(f"{folder}/{name}") if whole else reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def deduplicated(stream: DataFrame, key: str, when: str, keep: str = "21 days") -> DataFrame:
     """Each key once within the watermark: bounded state, weaker than a ledger that never forgets."""
     return stream.withWatermark(when, keep).dropDuplicatesWithinWatermark([key])
