@@ -241,4 +241,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = near_duplicates(docs, id_column, text_column, **settings)
     kept = found.where("kept and %s is not null" % id_column).select(id_column).distinct()
     only = Window.partitionBy(id_column).orderBy(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
-    return docs.join(kept, id_column, "left_semi").withColumn("_row", F.row_number().over(only)).where("_row = 1").drop("_row")
+    return docs.join(kept, id_column, "left_semi").withColumn("_storyloom_row", F.row_number().over(only)).where("_storyloom_row = 1").drop("_storyloom_row")

@@ -1,8 +1,8 @@
 """Shards that each match the corpus mixture: proportional stratified interleaving.
 
-Rows get a seeded random order within their source; the row of rank r among n has the fraction (r - 1/2) / n. All
-rows sorted by fraction interleave the sources in proportion, and cutting that order into equal parts gives shards
-whose row counts differ by one at most and whose share of every source is that of the corpus, up to a row.
+Rows get a seeded random order within their source; the row of rank r among n has the fraction (r - u) / n, with u a
+seeded number in (0, 1) for each source, so that sources of one size don't step together. All rows sorted by fraction interleave the sources in proportion, and cutting that order into equal parts gives shards
+whose row counts differ by one at most and whose share of every source is that of the corpus, up to a few rows.
 
 Both ranks are taken in two levels: rows fall into buckets of the sort key, the buckets' sizes are summed up in
 order, and a window ranks within a bucket alone. A hot source is thus spread over all buckets, and only lean rows
@@ -60,9 +60,10 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 20240, id_column
     lean = lean.withColumn("h", F.xxhash64(F.lit(seed), "id", "crc")).withColumn("b", F.shiftrightunsigned("h", 64 - BUCKETS.bit_length() + 1).cast("int"))
     lean = cut(lean, "lean")
     ranked = _ranked(lean, ["source"], "b", ["h", "id", "crc", "bytes"], "rank")
+    offset = (F.pmod(F.xxhash64(F.lit(seed + 1), ranked["source"]), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     of_source = lean.groupBy("source").agg(F.count("*").alias("_all"))
     ranked = ranked.join(of_source, ranked["source"].eqNullSafe(of_source["source"])).select(
-        *[ranked[c] for c in ranked.columns], ((2 * F.col("rank") - 1) / (2 * F.col("_all"))).alias("fraction")
+        *[ranked[c] for c in ranked.columns], ((F.col("rank") - offset) / F.col("_all")).alias("fraction")
     )
     ranked = cut(ranked.withColumn("f", F.floor(F.col("fraction") * BUCKETS).cast("int")).drop("b"), "fractions")
     placed = _ranked(ranked, [], "f", ["fraction", F.col("source").asc_nulls_first(), "rank"], "place")
