@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ def normalize(c: Column) -> Column:
 
 def compatibility(c: Column) -> Column:
     """Unicode NFKC by an Arrow UDF: Spark has no such function. Apply before normalize() where input isn't composed."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")

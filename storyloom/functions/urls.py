@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +48,6 @@ def canonical_url(c: Column) -> Column:
 
 def ascii_host(c: Column) -> Column:
     """The URL with its host in punycode, by an Arrow UDF; left as it is where the host has no such form."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
