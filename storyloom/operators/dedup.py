@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom import fixed
+from storyloom.checkpoints import cut
 from storyloom.functions import text as tx
 from storyloom.functions.hashing import band_keys, estimated_jaccard, minhash
 from storyloom.operators.problems import join_probability
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Ends the lineage in a table of the folder that spark.checkpoint.dir names, which driver and executors share."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="storyloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def content_duplicates(articles: DataFrame) -> DataFrame:
     """id, duplicate_of: the first article by (discovered_at, id) with the same content, null for the first itself."""
     first = articles.groupBy("content_hash").agg(F.min(F.struct("discovered_at", "id")).alias("f"))

@@ -64,7 +64,7 @@ def design_weights(rows: DataFrame, stratum: str, population: DataFrame) -> Data
     """Adds `weight`: the stratum's population by its sample. population: stratum, population."""
     sampled = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
     sizes = population.join(sampled, stratum).select(stratum, (F.col("population") / F.col("_n")).alias("weight"))
-    return rows.join(F.broadcast(sizes), stratum)
+    return rows.join(sizes, stratum)
 
 
 def per_class(rows: DataFrame) -> DataFrame:
@@ -78,8 +78,10 @@ def per_class(rows: DataFrame) -> DataFrame:
 def threshold_curve(scored: DataFrame) -> DataFrame:
     """Of score and gold, each distinct score as a threshold: tp, selected, precision, recall, F1.
 
-    Scores are aggregated before the cumulative window, so the single task holds distinct scores, not rows.
+    Scores are told apart to six decimals and aggregated before the cumulative window, so its single task holds at most
+    a million rows for scores in [0, 1], whatever the input.
     """
+    scored = scored.withColumn("score", F.round("score", 6))
     steps = scored.groupBy("score").agg(F.sum("gold").alias("k"), F.count("*").alias("n"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = scored.agg(F.sum("gold").alias("positives"))
@@ -115,12 +117,12 @@ def stratified_sample(rows: DataFrame, stratum: str, id_column: str, quota: int,
 def bootstrap_means(values: DataFrame, replicates: int = 1000, seed: str = "7") -> DataFrame:
     """replicate, mean: each draws as many rows as there are, the j-th by a hash of (seed, replicate, j).
 
-    values: i (0 to n - 1), value. A query set's values, a bounded number, are broadcast against the draws.
+    values: i (0 to n - 1), value.
     """
     spark, n = values.sparkSession, values.count()
     draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     at = F.floor(unit_hash(F.lit(seed), F.col("replicate"), F.col("j")) * n).cast("bigint")
-    return draws.withColumn("i", at).join(F.broadcast(values), "i").groupBy("replicate").agg(F.avg("value").alias("mean"))
+    return draws.withColumn("i", at).join(values, "i").groupBy("replicate").agg(F.avg("value").alias("mean"))
 
 
 def bootstrap_interval(values: DataFrame, replicates: int = 1000, seed: str = "7", alpha: float = 0.05) -> DataFrame:

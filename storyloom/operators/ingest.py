@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.checkpoints import cut
 from storyloom.functions.text import collapse, excerpt, opening_text
 from storyloom.functions.urls import canonical_url
 
@@ -91,16 +92,22 @@ def synced_registry(current: DataFrame, new: DataFrame) -> DataFrame:
 def thread_comments(comments: DataFrame, floor: int, per_thread: int = 3) -> DataFrame:
     """Of threads whose post has the points: the top-level comments with most replies below them (ties: smaller id).
 
-    comments: thread_id, id, parent_id, points (of the post, on the post's row). Replies are counted by walking each
-    row's ancestors up to its top-level comment in a recursive query.
+    comments: thread_id, id, parent_id, points (of the post, on the post's row). Replies are counted level by level: each
+    round every row hands itself to its parent's parent, until only posts are left, so rounds are as many as levels.
     """
-    comments.createOrReplaceTempView("_comments")
-    spark = comments.sparkSession
-    below = spark.sql("""
-        WITH RECURSIVE up AS (
-          SELECT id AS node, id AS at, parent_id, thread_id FROM _comments WHERE parent_id IS NOT NULL
-          UNION ALL SELECT u.node, c.id, c.parent_id, u.thread_id FROM up u JOIN _comments c ON c.id = u.parent_id WHERE c.parent_id IS NOT NULL)
-        SELECT thread_id, at AS id, count(*) - 1 AS replies FROM up GROUP BY thread_id, at""")
+    level = comments.where("parent_id is not null").select("thread_id", F.col("id").alias("above"), F.col("parent_id").alias("next"))
+    parents = comments.select(F.col("id").alias("next"), F.col("parent_id").alias("beyond"))
+    counted = None
+    while True:
+        level = cut(level, "level")
+        if level.isEmpty():
+            break
+        part = level.groupBy("thread_id", F.col("above").alias("id")).agg(F.count("*").alias("n"))
+        counted = part if counted is None else counted.unionByName(part)
+        level = level.join(parents, "next").where("beyond is not null").select("thread_id", F.col("next").alias("above"), F.col("beyond").alias("next"))
+    if counted is None:
+        counted = comments.sparkSession.createDataFrame([], "thread_id long, id long, n long")
+    below = counted.groupBy("thread_id", "id").agg((F.sum("n") - 1).alias("replies"))
     posts = comments.where("parent_id is null").where(F.col("points") >= floor).select("thread_id", F.col("id").alias("post_id"))
     heads = comments.join(posts, "thread_id").where(F.col("parent_id") == F.col("post_id")).select("thread_id", "id")
     w = Window.partitionBy("thread_id").orderBy(F.desc("replies"), "id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom import fixed, schemas
+from storyloom.checkpoints import cut, scratch
 from storyloom.functions import hashing, urls
 from storyloom.functions import text as tx
 from storyloom.functions.vectors import centroids
@@ -176,7 +177,7 @@ def content_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _signed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     a = schemas.articles(spark, sf)
-    return a, dedup.cut(dedup.signatures(a), "signatures")
+    return a, cut(dedup.signatures(a), "signatures")
 
 
 @query
@@ -331,7 +332,7 @@ def feed_interleaved(spark: SparkSession, sf: str) -> DataFrame:
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a = schemas.articles(spark, sf).select("id", "title", "body")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
-    return dedup.cut(retrieval.postings(a), "postings"), retrieval.corpus_size(a), queries
+    return cut(retrieval.postings(a), "postings"), retrieval.corpus_size(a), queries
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,7 +396,7 @@ def _qrels(pool: DataFrame) -> DataFrame:
 
 @query
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    lexical = dedup.cut(_lexical(spark, sf), "lexical")
+    lexical = cut(_lexical(spark, sf), "lexical")
     pool = retrieval.judging_pool([(lexical, 50)])
     m = evaluation.ranking_metrics(lexical, _qrels(pool))
     return m.select("qid", r6("ndcg"), r6("recall"), r6("mrr"))
@@ -412,7 +413,7 @@ def judging_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 def _problems(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, F.Column]:
     d = schemas.discussions(spark, sf)
-    p = dedup.cut(problems.summary(d), "problems")
+    p = cut(problems.summary(d), "problems")
     return d, p, F.lit(d.agg(F.max("observed_at")).first()[0])
 
 
@@ -444,7 +445,7 @@ def topic_relevance(spark: SparkSession, sf: str) -> DataFrame:
     d = schemas.discussions(spark, sf)
     docs = d.where("problem_id is not null").select("id", F.left("body", F.lit(160)).alias("title"), "body")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
-    lexical = retrieval.bm25(dedup.cut(retrieval.postings(docs), "postings"), retrieval.corpus_size(docs), queries)
+    lexical = retrieval.bm25(cut(retrieval.postings(docs), "postings"), retrieval.corpus_size(docs), queries)
     return retrieval.topic_relevance(retrieval.fused([lexical]), d.select("id", "problem_id"))
 
 
@@ -586,17 +587,10 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     stream = table_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     name = f"hourly_{uuid.uuid4().hex}"
-    out = counted_once(counts.select(F.col("w.start").alias("hour"), "event_type", "n"), name, f"{_scratch(spark)}/{name}")
+    out = counted_once(counts.select(F.col("w.start").alias("hour"), "event_type", "n"), name, f"{scratch(spark)}/{name}")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="storyloom-")
-    return where.rstrip("/")
-
-
 # ---- general relational forms: native extensions, of which the model system has none
 
 
