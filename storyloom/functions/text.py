@@ -163,3 +163,22 @@ def parsed_query(c: Column) -> Column:
     """Struct of text (256 characters, collapsed), tokens, versions and recency intent."""
     text = collapse(normalize(F.left(c, F.lit(256))))
     return F.struct(text.alias("text"), content_tokens(text).alias("tokens"), version_tokens(text).alias("versions"), text.rlike(fixed.RECENCY).alias("recency"))
+
+
+def relative_time(later: Column, earlier: Column) -> Column:
+    """now, minutes, hours or days ago, as cards show it."""
+    minutes = F.floor((F.unix_timestamp(later) - F.unix_timestamp(earlier)) / 60)
+    out = F.when(minutes < 1, F.lit("now")).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
+    return out.when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+
+
+def initials(name: Column) -> Column:
+    words = F.filter(F.split(F.trim(name), r"[\s._-]+"), lambda w: F.length(w) > 0)
+    return F.upper(F.array_join(F.transform(F.slice(words, 1, 2), lambda w: F.left(w, F.lit(1))), ""))
+
+
+def echoes(excerpt_: Column, statement: Column) -> Column:
+    """Whether an excerpt begins with the first 60 characters of the statement, letters and digits alone."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    first = F.left(bare(statement), F.lit(60))
+    return (F.length(first) > 0) & F.startswith(bare(excerpt_), first)

@@ -153,3 +153,10 @@ def decided(p: Column, threshold: float = 0.5) -> Column:
 def decision(p: Column, threshold: float, existing: Column, candidate: Column, p_join: Column, join_threshold: float) -> Column:
     """unclassified, not_problem, kept, joined or created."""
     return F.when(p.isNull(), "unclassified").when(p < threshold, "not_problem").when(existing.isNotNull(), "kept").when(candidate.isNotNull() & (p_join >= join_threshold), "joined").otherwise("created")
+
+
+def detail(problems: DataFrame, problem_id: int, as_of: Column) -> DataFrame:
+    """One problem with its factors, rounded as responses show them; no window and no least number of voices."""
+    out = demand(problems.where(F.col("problem_id") == problem_id), as_of)
+    factors = [F.round(c, 4).alias(c) for c in ("f_voices", "f_sources", "f_recency", "f_engagement", "f_category", "demand")]
+    return out.select("problem_id", "statement", "category", "voice_count", "source_count", *factors)

@@ -208,3 +208,42 @@ def hashed_embedding(c: Column, size: int = 384) -> Column:
     zero = F.array_repeat(F.lit(0.0), size)
     added = F.aggregate(at, zero, lambda v, p: F.transform(v, lambda x, i: F.when(i == p["i"], x + p["s"]).otherwise(x)))
     return unit(added)
+
+
+def nearest_owner(items: DataFrame, owners: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Per item the owner of the largest cosine (ties: smaller owner) among those that meet the condition over both.
+
+    items: id, v, and what the condition needs; owners: owner, ov, the like. The owners are the stated set: they meet all
+    items in blocks of at most QUERY_BLOCK, and each task keeps one row an item.
+    """
+    n = owners.count()
+    blocks = max(1, -(-n // QUERY_BLOCK * 5 // 4))
+    split = owners.withColumn("_block", F.pmod(F.xxhash64("owner"), F.lit(blocks)))
+    best = None
+    for i in range(blocks):
+        block = F.broadcast(split.where(F.col("_block") == i).drop("_block"))
+        met = items.join(block, F.lit(True) if condition is None else condition)
+        length = norm(F.col("v")) * norm(F.col("ov"))
+        sim = F.round(F.when(length == 0, 0.0).otherwise(dot(F.col("v"), F.col("ov")) / length), 6)
+        part = met.select("id", "owner", sim.alias("similarity"))
+        best = part if best is None else best.unionByName(part)
+    top_one = F.max_by(F.struct("owner", "similarity"), F.struct(F.col("similarity"), -F.col("owner")))
+    return best.groupBy("id").agg(top_one.alias("x")).select("id", "x.*")
+
+
+def zero_shot(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, owner (the label), similarity: the label whose description lies nearest."""
+    return nearest_owner(items, labels)
+
+
+def signals(hits: DataFrame, features: DataFrame, summaries: DataFrame, lexical: DataFrame, dense: DataFrame, owners: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """What rerank_features() needs for each hit: features, lead title, best member scores, entity union. Stories
+    without visible articles have no features and drop out."""
+    best = lambda rows, c, name: rows.join(owners, "id").groupBy("qid", "story_id").agg(F.max(c).alias(name))
+    out = hits.select("qid", "story_id", F.col("score").alias("rrf"), F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("dense_rank"))
+    out = out.join(features, "story_id").join(summaries.select("story_id", "title"), "story_id")
+    out = out.join(best(lexical, "score", "lex_score"), ["qid", "story_id"], "left").join(best(dense, "similarity", "dense_sim"), ["qid", "story_id"], "left")
+    if entities is None:
+        return out.withColumn("entities", F.array().cast("array<string>"))
+    union = entities.join(owners, "id").groupBy("story_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"))
+    return out.join(union, "story_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))

@@ -112,6 +112,9 @@ fst AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, story
 GRADED = "g AS (SELECT doc_id, quality AS gold, ((doc_id * 37 + quality * 29) % 101) / 100.0::DOUBLE AS score, doc_id % 5 AS stratum FROM labels)"
 
 
+SIM = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))), 6)"
+
+
 def wilson(k: str, n: str) -> str:
     half = f"1.96::DOUBLE * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + 3.8416::DOUBLE / (4 * {n} * {n}))"
     mid, den = f"({k} / {n} + 3.8416::DOUBLE / (2 * {n}))", f"(1 + 3.8416::DOUBLE / {n})"
@@ -246,4 +249,14 @@ m AS (SELECT r, avg(value) AS m FROM d JOIN v USING (i) GROUP BY 1) SELECT round
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "native_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, GROUPING(l_returnflag, l_linestatus)::INT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "native_semi_anti": "SELECT c_nationkey, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS with_orders, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS without_orders FROM customer GROUP BY 1",
+    "newest_members": with_(ARTICLES, "SELECT story_id, id, row_number() OVER (PARTITION BY story_id ORDER BY discovered_at DESC, id)::INT AS place FROM articles QUALIFY place <= 25"),
+    "story_problem_links": with_(f"{ARTICLES}, {PROBLEMS}", f""", x AS (SELECT a.id, problem_id AS owner, {SIM.format(a='e.embedding', b='q.embedding')} AS similarity FROM articles a JOIN embeddings e ON e.vec_id = a.id JOIN problems p ON p.last_seen_at <= a.discovered_at JOIN embeddings q ON q.vec_id = problem_id)
+SELECT id, owner, similarity FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, owner) = 1"""),
+    "zero_shot_labels": f"SELECT e.vec_id AS id, q.vec_id AS owner, {SIM.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id < 6 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY similarity DESC, q.vec_id) = 1",
+    "pair_sample": with_(PAIRS, """, y AS (SELECT a, b, floor(jaccard * 10)::BIGINT || '|' || (x.source_id = z.source_id)::INT AS stratum FROM pairs JOIN articles x ON x.id = a JOIN articles z ON z.id = b)
+SELECT stratum, a, b, row_number() OVER (PARTITION BY stratum ORDER BY md5('7|' || a || '-' || b), a || '-' || b)::INT AS place FROM y QUALIFY place <= 5"""),
+    "problem_detail": with_(PROBLEMS, "SELECT problem_id, statement, category, voice_count, source_count, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("f_voices", "f_sources", "f_recency", "f_engagement", "f_category", "demand")) + " FROM demand WHERE problem_id = 1"),
+    "statement_echo": with_(PROBLEMS, """, e AS (SELECT *, coalesce(points, 0) + coalesce(comments, 0) + coalesce(reactions, 0) AS e2, CASE WHEN length(body) <= 280 THEN body ELSE regexp_replace(left(body, 279), ' [^ ]*$', '') || '…' END AS x FROM discussions WHERE problem_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY p_problem DESC NULLS LAST, e2 DESC, id) <= 3),
+f AS (SELECT problem_id, id, regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') AS x, left(regexp_replace(lower(statement), '[^a-z0-9]+', '', 'g'), 60) AS s FROM e JOIN problems USING (problem_id)) SELECT problem_id, id, s <> '' AND starts_with(x, s) AS echo FROM f"""),
 }

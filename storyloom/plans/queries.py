@@ -301,6 +301,39 @@ def briefing(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.first_reports(a).select("story_id", "first_source", "others", r6("span_hours"))
 
 
+@query
+def newest_members(spark: SparkSession, sf: str) -> DataFrame:
+    a, _, _ = _stories(spark, sf)
+    return ranking.newest_members(a).select("story_id", "id", "place")
+
+
+@query
+def story_problem_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest problem of each article with a vector, among those last seen before it; a problem's vector is that of its id."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    a = schemas.articles(spark, sf).select("id", "discovered_at").join(v, "id")
+    p = _problems(spark, sf)[1].select(F.col("problem_id").alias("owner"), "last_seen_at").join(v.toDF("owner", "ov"), "owner")
+    return retrieval.nearest_owner(a, p, F.col("last_seen_at") <= F.col("discovered_at"))
+
+
+@query
+def zero_shot_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of ids 0 to 5 stand in for six label descriptions."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.zero_shot(v, v.where("id < 6").toDF("owner", "ov"))
+
+
+@query
+def pair_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs sampled by similarity bin and same source, five of each."""
+    a, s = _signed(spark, sf)
+    src = a.select("id", "source_id")
+    pairs = dedup.lsh_pairs(s, a).join(src.toDF("a", "sa"), "a").join(src.toDF("b", "sb"), "b")
+    stratum = F.concat_ws("|", F.floor(F.col("jaccard") * 10).cast("string"), (F.col("sa") == F.col("sb")).cast("int").cast("string"))
+    rows = pairs.select("a", "b", stratum.alias("stratum"), F.concat_ws("-", "a", "b").alias("pair"))
+    return evaluation.stratified_sample(rows, "stratum", "pair", 5).select("stratum", "a", "b", "place")
+
+
 @query
 def primary_stories(spark: SparkSession, sf: str) -> DataFrame:
     a, s, _ = _stories(spark, sf)
@@ -382,9 +415,8 @@ def stories_fused(spark: SparkSession, sf: str) -> DataFrame:
 def rerank_features(spark: SparkSession, sf: str) -> DataFrame:
     a, s, now = _stories(spark, sf)
     hits = retrieval.fused_stories(_fused(spark, sf), a.select("id", "story_id"))
-    best = hits.select("qid", "story_id", F.col("score").alias("rrf"), F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("dense_rank"))
-    f = ranking.story_features(a, s, now).join(ranking.story_summary(a, s).select("story_id", "title"), "story_id")
-    signals = best.join(f, "story_id").withColumns({"lex_score": F.lit(0.0), "dense_sim": F.lit(0.0), "entities": F.array().cast("array<string>")})
+    lexical, dense = cut(_lexical(spark, sf), "lexical"), _dense(spark, sf).withColumn("qid", F.expr("qid div 100"))
+    signals = retrieval.signals(hits, ranking.story_features(a, s, now), ranking.story_summary(a, s), lexical, dense, a.select("id", "story_id"))
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("entities"))
     out = retrieval.rerank_features(queries, signals)
     return out.select("qid", "story_id", *[r6(F.col(c), c) for c in fixed.RERANK_FEATURES])
@@ -434,6 +466,19 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
     return problems.listing(p, now, min_voices=2)
 
 
+@query
+def problem_detail(spark: SparkSession, sf: str) -> DataFrame:
+    _, p, now = _problems(spark, sf)
+    return problems.detail(p, 1, now)
+
+
+@query
+def statement_echo(spark: SparkSession, sf: str) -> DataFrame:
+    d, p, _ = _problems(spark, sf)
+    e = problems.evidence(d).join(p.select("problem_id", "statement"), "problem_id")
+    return e.select("problem_id", "id", tx.echoes(tx.excerpt(F.col("body")), F.col("statement")).alias("echo"))
+
+
 @query
 def problem_list(spark: SparkSession, sf: str) -> DataFrame:
     return _listed(spark, sf).select("rank", "problem_id", "category", "final")
