@@ -25,8 +25,8 @@ LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "bare_marks", "eq
 #: Documents (about; those of the smallest id hashes) that the scorer is trained on, and its hashed features.
 SAMPLE, FEATURES = 4_000, 1 << 15
 #: From these shares on, the first six vote bad; up to the second bounds, all six at once, a text can be prose.
-BAD = np.array([0.2, 0.5, 0.25, 0.2, 0.2, 0.5])
-PROSE = np.array([0.05, 0.2, 0.08, 0.05, 0.05, 0.25])
+BAD = np.array([0.2, 0.4, 0.25, 0.2, 0.2, 0.75])
+PROSE = np.array([0.1, 0.2, 0.1, 0.1, 0.12, 0.6])
 #: Words to a sentence of prose at most; distinct words by the root of all: poor below the first, rich from the second.
 SENTENCE, VARIETY = 60.0, (1.5, 3.0)
 
@@ -57,7 +57,7 @@ def shares(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.nda
     return np.array(
         [
             (per_word(_SYMBOL) >= 2).mean(),
-            _UPPER[data].sum() / max(letters, 1),
+            (int(_UPPER[data].sum()) - int(_UPPER[data[starts]].sum())) / max(letters, 1),  # without first letters
             (words[1:] == words[:-1]).sum() / max(n - 1, 1),
             (per_word(_MARK) >= 2).mean(),
             (per_word(_WORDY) == 0).mean(),
