@@ -242,6 +242,40 @@ def test_cross_entropy_against_counts(spark, monkeypatch):
     assert xent.cross_entropy_difference(frame.limit(0), target.limit(0)).collect() == []
 
 
+def test_cross_entropy_scores_every_word(spark):
+    r = random.Random(7)
+    texts = [" ".join(f"w{int(r.paretovariate(0.4)) % 9000}" for _ in range(r.randint(1, 60))) for _ in range(800)]
+    texts += [" ".join(f"w{k}" for k in range(2500))] * 2 + ["rare1 rare2 rare1", "rare3 rare4 rare3", "rare1 rare2 rare5"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    frame.write.parquet(path := "file://" + __import__("tempfile").mkdtemp() + "/docs")
+    frame = spark.read.parquet(path)
+    found = {x.doc_id: x for x in xent.cross_entropy_difference(frame, frame.where("doc_id % 3 = 1 or doc_id = 802")).collect()}
+    chosen = [t for i, t in enumerate(texts) if i % 3 == 1 or i == 802]
+    vocabulary = len({w for t in texts for w in t.split()}) + 1
+    assert vocabulary > xent.WORDS and len(found) == len(texts)
+
+    def model(texts, scale_to=None):
+        c, left = {}, {}
+        for t in texts:
+            w = ["#", *t.split(), "#"]
+            for p in zip(w, w[1:]):
+                c[p] = c.get(p, 0) + 1
+        total = sum(c.values())
+        s = scale_to / total if scale_to else 1
+        for (v, _), n in c.items():
+            left[v] = left.get(v, 0) + n
+        p = lambda u: (s * left.get(u, 0) + 1) / (s * total + vocabulary)
+        return (lambda v, u: -math.log((s * c.get((v, u), 0) + xent.MASS * p(u)) / (s * left.get(v, 0) + xent.MASS))), total
+
+    target, n = model(chosen)
+    background, _ = model(texts, n)
+    for i, t in enumerate(texts):
+        w = ["#", *t.split(), "#"]
+        for name, f in (("ce_target", target), ("ce_background", background)):
+            assert abs(found[i][name] - sum(f(*p) for p in zip(w, w[1:])) / (len(w) - 1)) < 1e-5
+    assert found[802].ce_difference != found[803].ce_difference  # they differ in rare words alone
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
