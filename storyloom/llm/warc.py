@@ -11,7 +11,7 @@ segment number, checked for gaps and for the total length, joined, and the chunk
 that fails a check comes out with the reason in `problem` and no payload.
 
 Defined cases: a null payload is empty; a null id is written without an id and is smaller than any other; of rows
-that share id and payload each is a record, and those of the largest id are each stored; null URLs are written as
+that share id and payload each is a record with a record id of its own, and those of the largest id are each stored; null URLs are written as
 `urn:page:<id>`; other columns are not looked at; an empty table gives no records. Payloads are text; a segment ends
 between characters.
 """
@@ -66,9 +66,9 @@ def unchunked(framed: bytes) -> bytes:
         at += n + 2
 
 
-def records_of(page_id: int | None, url: str | None, payload: str, digest: str, refers_to: int | None) -> list[str]:
-    """The WARC records of a page, each as text without its last line feed (the text writer adds it)."""
-    record_id = hashlib.sha256(f"{page_id}|{url}|{digest}".encode()).hexdigest()
+def records_of(page_id: int | None, url: str | None, payload: str, digest: str, refers_to: int | None, row: int = 0) -> list[str]:
+    """The WARC records of a page, each as text without its last line feed (the text writer adds it). `row` tells equal pages apart."""
+    record_id = hashlib.sha256(f"{page_id}|{url}|{digest}|{row}".encode()).hexdigest()
     identity = [("WARC-Date", _DATE), ("WARC-Target-URI", url if url is not None else f"urn:page:{page_id}"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if page_id is not None:
         identity.append(("X-Page-ID", str(page_id)))
@@ -99,14 +99,15 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     """Writes the pages' records as .txt.gz archives under path.
 
     The digests' winners are found on lean rows; the payloads move once, in the join with the winners of digests that
-    occur repeatedly, which adaptive execution splits where one payload is very frequent.
+    occur repeatedly, which adaptive execution splits where one payload is very frequent. A row's number, which needs no
+    shuffle, is part of its record ids: all records of a row are written by one task, and so agree on it.
     """
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     digest = F.sha1(F.col("payload").cast("binary"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("id", digest.alias("digest"))
     winners = large.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.withColumn("digest", digest).join(winners, "digest", "left")
-    rows = rows.select("id", "url", "payload", "digest", F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner")).alias("refers_to"))
+    rows = rows.select("id", "url", "payload", "digest", F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner")).alias("refers_to"), F.monotonically_increasing_id().alias("row"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

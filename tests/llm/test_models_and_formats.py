@@ -71,6 +71,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds.count("continuation") > 10
 
 
+def test_warc_repeated_rows_are_records_each(spark, tmp_path):
+    long = "abc é " * 8_000
+    rows = [(1, "u", long)] * 3 + [(None, None, long + "x")] * 2 + [(2, None, long + "y"), (2, "None", long + "y")]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.read_archives(spark, path).collect()
+    assert len(found) == len(rows) and all(r.problem is None and r.record_type == "response" for r in found)
+    assert sorted(bytes(r.payload).decode() for r in found) == sorted(x for _, _, x in rows)
+    ids = [r.record_id for r in warc.read_records(spark, path).collect()]
+    assert len(set(ids)) == len(ids)
+
+
 def test_warc_faults_are_told(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "SEGMENT_CHARS", 200)
     records = warc.records_of(1, "u", "a" * 2000, hashlib.sha1(b"a" * 2000).hexdigest(), None)
