@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storyloom.llm import registry
 from storyloom.llm._common import cut, table
 from storyloom.llm.decontam import without_hits
-from storyloom.llm.neardup import deduplicated
+from storyloom.llm.neardup import one_of_each
 from storyloom.llm.pieces import encode_documents
 from storyloom.llm.quality import keep_good
 from storyloom.llm.toxicity import keep_clean
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8."""
-    return deduplicated(docs)
+    """One document of each group that five-word shingles link at a similarity of 0.8, whatever their ids."""
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -242,3 +242,19 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kept = found.where("kept and %s is not null" % id_column).select(id_column).distinct()
     only = Window.partitionBy(id_column).orderBy(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
     return docs.join(kept, id_column, "left_semi").withColumn("_storyloom_row", F.row_number().over(only)).where("_storyloom_row = 1").drop("_storyloom_row")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings: int) -> DataFrame:
+    """The documents with one row of each group of linked rows, all columns: that of the smallest id.
+
+    Decided row by row: ids link nothing. A row that is linked with none stays, without an id or under an id that other
+    rows have too; of a group without ids one row stays, and of rows without words all. The rows are numbered in a
+    stored table, so that a number is the same whenever it is read.
+    """
+    numbered = cut(docs.withColumn("_storyloom_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, "_storyloom_row", text_column, **settings).select("_storyloom_row", "component_id")
+    content = F.xxhash64(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), content.alias("content"), F.col("_storyloom_row").alias("row"))
+    ranked = numbered.select("_storyloom_row", order.alias("order")).join(groups, "_storyloom_row")
+    kept = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("_storyloom_row"))
+    return numbered.join(kept, "_storyloom_row", "left_semi").select(*docs.columns)

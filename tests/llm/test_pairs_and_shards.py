@@ -107,6 +107,18 @@ def test_repeated_ids_nulls_and_other_columns(spark):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_pipeline_keeps_rows_without_a_copy(spark):
+    import corpus_pipeline
+
+    rows = [(None, "only here now", "x"), (None, "a b c d e f", "x"), (2, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "q r s t u v", "y"), (3, "q r s t u v", None), (5, "m n o p q", "x"), (5, "i j k l m", "x"), (9, "p p", "x"), (9, "p p", "x"), (None, "z z", "x"), (None, "z z", "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(None, "only here now"), (1, "a b c d e f"), (1, "q r s t u v"), (5, "m n o p q"), (5, "i j k l m"), (9, "p p"), (None, "z z")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
 def test_densified_signatures_estimate_similarity():
     r, order = np.random.default_rng(5), neardup._borrowing_order(144)
     for n in (8, 60, 2000):
