@@ -156,7 +156,7 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = 20, share: float
 
     queries = index.where(is_query).select("id", "vector")
     n_chunks = max(1, -(-queries.count() // CHUNK))
-    wanted = share * n
+    wanted = max(share * n, top + 1)  # a query's own entry counts too
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

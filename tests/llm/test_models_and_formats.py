@@ -135,6 +135,13 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     assert [(r.query_id, r.vec_id) for r in few] == [(20, 106)]
 
 
+def test_neighbours_of_small_tables_are_complete(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    for n in (15, 25):
+        got = multiindex.neighbours(e.where(f"vec_id < {n}"), multiindex.F.col("id") % 5 == 0).toPandas()
+        assert set(got.groupby("query_id").size()) == {min(20, n - 1)}
+
+
 def test_cells_come_by_distance():
     r = np.random.default_rng(1)
     books = r.normal(size=(6, 3)), r.normal(size=(6, 3))
