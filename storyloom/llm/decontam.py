@@ -13,8 +13,9 @@ The test set is cut into index blocks of bounded size (ITEMS, WORDS), each broad
 length over the whole set. Documents are read in one narrow pass; nothing is shuffled.
 
 Defined cases: null or empty texts have no hits; items without words match nothing; items of fewer than three words in
-question or answer are verified by whole words; rows that share an id give hits each; empty tables give empty results;
-other columns are not looked at, or kept by without_hits().
+question or answer are verified by whole words; rows that share an id give hits each; an item without an id is looked for like any other
+and gives hits with a null item_id; empty tables give empty results; other columns are not looked at, or kept by
+without_hits().
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from storyloom.llm._common import PLAIN, mix64, word_hashes
 
@@ -181,7 +181,7 @@ class ItemIndex:
 
 def build_indexes(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[ItemIndex]:
     """The test set as index blocks. The set is the one table that is read to the driver, item by item and block by block."""
-    items = benchmark.select(id_column, text_column).where(F.col(id_column).isNotNull()).orderBy(id_column, text_column)
+    items = benchmark.select(id_column, text_column).orderBy(id_column, text_column)
     n, words, longest, df = 0, 0, 1, {}
     for _, text in items.toLocalIterator():
         w = plain_words(text)

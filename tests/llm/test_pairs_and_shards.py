@@ -207,3 +207,11 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, monkeypatch):
         clean = decontam.without_hits(frame, benchmark)
         assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - set(dirty)
     assert decontam.contaminated(frame.limit(0), benchmark).collect() == [] and decontam.contaminated(frame, benchmark.limit(0)).collect() == []
+
+
+def test_items_without_an_id_are_found(spark):
+    item = "which river runs past the old mill at dawn. the quiet silver stream."
+    docs = spark.createDataFrame([(1, "some words before " + item + " and after", "x"), (2, "nothing of that kind here", "x")], DOCS)
+    benchmark = spark.createDataFrame([(None, item), (None, None), (4, "another question altogether. its answer is here.")], "item_id long, text string")
+    assert [(h.doc_id, h.item_id) for h in decontam.contaminated(docs, benchmark).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontam.without_hits(docs, benchmark).collect()] == [2]
