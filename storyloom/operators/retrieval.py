@@ -29,8 +29,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return tx.exploded(q.withColumn("n_terms", F.size("terms")), "terms", "term")
 
 
-def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int = DEPTH, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, id, score, matched, rank. index: postings(); corpus: one row with n and mean_length.
+def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int | None = DEPTH, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """qid, id, score, matched, rank. index: postings(); corpus: one row with n and mean_length. Without a depth all
+    scored rows come, with no rank.
 
     Document frequencies are joined to the query's terms, which are few; the postings meet the queries in one
     equi-join on the term and are summed with partial aggregation. Scores are rounded before they rank.
@@ -44,7 +45,7 @@ def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int = D
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = live.join(df, "term").join(terms, "term").groupBy("qid", "id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
-    return top(scored, "qid", "score", "id", depth)
+    return scored if depth is None else top(scored, "qid", "score", "id", depth)
 
 
 def corpus_size(articles: DataFrame) -> DataFrame:

@@ -387,7 +387,7 @@ def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 def and_match(spark: SparkSession, sf: str) -> DataFrame:
     index, size, queries = _index(spark, sf)
     three = queries.select("qid", F.array_join(F.slice(tx.content_tokens(F.col("text")), 1, 3), " ").alias("text"))
-    return retrieval.match_all(retrieval.bm25(index, size, three, depth=1_000_000)).select("qid", "id", "rank", "score")
+    return retrieval.match_all(retrieval.bm25(index, size, three, depth=None)).select("qid", "id", "rank", "score")
 
 
 @query

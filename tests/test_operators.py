@@ -295,3 +295,13 @@ def test_hot_paths_stay_in_generated_code(spark):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
     plan = queries.ALL["upsert_latest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id" in plan and "ts:" not in plan.split("ReadSchema")[1]
+
+
+def test_all_terms_are_asked_before_any_cut(spark, monkeypatch):
+    rows = [(i, "", "alpha") for i in range(9)] + [(9, "", "alpha beta " + "filler " * 400)]
+    docs = spark.createDataFrame(rows, "id long, title string, body string")
+    asked = spark.createDataFrame([(1, "alpha beta")], "qid long, text string")
+    depths, whole = [], retrieval.bm25
+    monkeypatch.setattr(queries, "_index", lambda spark, sf: (retrieval.postings(docs), retrieval.corpus_size(docs), asked))
+    monkeypatch.setattr(retrieval, "bm25", lambda *a, depth=retrieval.DEPTH: depths.append(depth) or whole(*a, depth=depth))
+    assert [(r.id, r["rank"]) for r in queries.and_match(spark, SF).collect()] == [(9, 1)] and depths == [None]
