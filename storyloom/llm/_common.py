@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +20,14 @@ _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs
+    in one process. On a cluster without the setting, ValueError: a folder of one machine would lose rows."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="storyloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,6 +37,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """The scratch tables and broadcasts made while it is the innermost one open."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.shared: list = []
+
+    def finish(self, result: DataFrame, name: str) -> DataFrame:
+        """Writes the result, and deletes the tables and destroys the broadcasts that it was made from."""
+        out, open_ = cut(result, name), _SCOPES.open
+        self.tables = [t for t in self.tables if t is not out]
+        for t in self.tables:
+            drop(t)
+        for b in self.shared:
+            b.destroy()
+        self.tables, self.shared = [], []
+        if self in open_[1:]:
+            open_[open_.index(self) - 1].tables.append(out)
+        return out
+
+
+class _Scopes(threading.local):
+    def __init__(self) -> None:
+        self.open: list[Scope] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Within it, what cut() and shared_value() make belongs to the scope, whose finish() clears it away."""
+    own = Scope()
+    _SCOPES.open.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.open.remove(own)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -38,6 +84,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._storyloom_path = path  # type: ignore[attr-defined]
+    if _SCOPES.open:
+        _SCOPES.open[-1].tables.append(out)
     return out
 
 
@@ -51,6 +99,14 @@ def drop(df: DataFrame | None) -> None:
         hadoop_path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
 
 
+def shared_value(spark: SparkSession, value):  # noqa: ANN001, ANN201
+    """A broadcast of a model or an index of bounded size; within a scope, it ends with the scope."""
+    out = spark.sparkContext.broadcast(value)
+    if _SCOPES.open:
+        _SCOPES.open[-1].shared.append(out)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from storyloom.llm._common import PLAIN, mix64, word_hashes
+from storyloom.llm._common import PLAIN, mix64, shared_value, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the trigrams of question and of answer.
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     schema = f"{id_column} {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, word_offset bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in build_indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = shared_value(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -226,7 +226,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """The documents in which no test item is found, with all their columns."""
     place = docs.columns.index(text_column)
     for index in build_indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = shared_value(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

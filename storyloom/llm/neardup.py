@@ -8,9 +8,11 @@ first. Bands of bins make bucket keys.
 Documents with equal sets are one class, dealt with by its smallest id. In each bucket every class is compared with
 the bucket's smallest id alone: a star has as many edges as members. Candidates are confirmed on their full sets.
 A star can miss a link between two of its leaves, so the buckets that still hold several components are compared
-exhaustively, in blocks of bounded size within a task: the intersections of a block's sets are one matrix product,
-and only links that join components leave the task. No pair that shares a bucket is left out, and pairs are never
-rows of a table except in stars. Buckets with the same members are compared once.
+exhaustively, in blocks of bounded members and shingles within a task: the intersections of a block's sets are one
+matrix product, and only links that join components leave the task. A bucket's largest component, which the star has
+found, meets the others but not itself, so that copies of a text grow with what is left open, not with the bucket. No
+pair that shares a bucket is left out, and pairs are never rows of a table except in stars. Buckets with the same
+members are compared once. Bands and texts move for one document of each class, rows of copies as ids and hashes.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
 fewer than k words has its whole sequence as one shingle; rows that share an id are one document with all their
@@ -24,16 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, mix64, shingle_hashes, utf8_arrays, word_hashes
+from storyloom.llm._common import cut, mix64, scope, shingle_hashes, utf8_arrays, word_hashes
 from storyloom.llm.graphs import components
 
 #: Rows (bins) of a band and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^36 < 1e-8.
 ROWS, BANDS = 4, 36
-#: Members of a block; two blocks are compared at once.
-BLOCK = 400
+#: Members of a block and their shingles, about; two blocks are compared at once.
+BLOCK, BLOCK_SHINGLES = 400, 200_000
 
 
 def _borrowing_order(bins: int) -> np.ndarray:
@@ -161,14 +163,19 @@ def block_links(labels: list, sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _compared(active: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b between members of different labels in the active buckets (bucket, rep, label, size).
+    """Links a, b between members of different labels in the active buckets.
 
-    A bucket's members are dealt to blocks by a hash, and every two blocks meet in one run of a sorted partition.
+    active: bucket, rep, label, of its bucket's largest label top (the label), and members m and shingles w, and of the
+    others rest_m and rest_w. The largest label's members are dealt to the first blocks, by a hash, the others to blocks
+    after them; a block of the first kind meets those of the second, these meet each other, each two in one run of a
+    sorted partition.
     """
     kind = active.schema["rep"].dataType.simpleString()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = active.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label")
+    blocks = lambda m, w: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("int")
+    placed = active.select("bucket", "rep", "label", (F.col("label") == F.col("top")).alias("large"), blocks("m", "w").alias("n0"), blocks("rest_m", "rest_w").alias("n1"))
+    placed = placed.withColumn("own", F.when(F.col("large"), F.pmod(F.xxhash64("rep"), F.col("n0"))).otherwise(F.col("n0") + F.pmod(F.xxhash64("rep"), F.col("n1"))).cast("int"))
+    met = F.when(F.col("large"), F.expr("sequence(n0, n0 + n1 - 1)")).otherwise(F.expr("sequence(0, n0 + n1 - 1)"))
+    placed = placed.withColumn("other", F.explode(met)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label")
     rows = placed.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "rep", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +204,18 @@ def _compared(active: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id)."""
-    docs = docs.select(F.col(id_column), F.col(text_column))
+    with scope() as own:
+        return own.finish(_components_of(docs.select(F.col(id_column), F.col(text_column)), id_column, text_column, k, percent, rows, bands), "near-duplicates")
+
+
+def _components_of(docs: DataFrame, id_column: str, text_column: str, k: int, percent: int, rows: int, bands: int) -> DataFrame:
     sigs = cut(signatures(docs, id_column, text_column, k, rows, bands), "signatures")
-    classes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")).where("rep is not null")
-    owners = cut(sigs.where("n > 0").select("id", "n", "k1", "k2", "bands").join(classes, ["k1", "k2"]), "classes")
+    some = sigs.where("n > 0")
+    classes = cut(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands")).where("rep is not null"), "classes")
 
     # buckets of at least two classes, with the star's centre
-    entries = owners.where("id = rep").select("rep", "n", F.explode("bands").alias("bucket"))
-    stars = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("size")).where("centre < last")
+    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    stars = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("centre_n")).where("centre < last")
     members = cut(entries.join(stars.drop("last"), "bucket").distinct(), "buckets")
     involved = members.select(F.col("rep").alias("id")).distinct()
     texts = cut(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(involved, "id", "left_semi"), "texts")
@@ -213,21 +224,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # an id that occurs with several sets joins their classes
-    several = owners.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
-    forced = owners.join(several, "id").select(F.col("rep").alias("a"), F.col("x").alias("b"))
+    of_id = some.where("id is not null").select("id", F.struct("k1", "k2").alias("s"))
+    several = of_id.groupBy("id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("id")
+    reps = some.select("id", "k1", "k2").join(several, "id").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    forced = reps.select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
     tried = cut(members.where("rep <> centre").where(alike_in_size("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = cut(_confirmed(tried, texts, k, percent).unionByName(forced), "links")
     labels = cut(components(links, "a", "b"), "labels")
-    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"))
-    once = split.where("x < y").groupBy("m", "p", "q").agg(F.min("bucket").alias("bucket")).select("bucket")
+    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"))
+    split = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("w", "m", "label")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.bit_xor("p").alias("p"), F.bit_xor("q").alias("q"))
+    once = split.where("labels > 1").groupBy("m", "p", "q").agg(F.min(F.struct("bucket", "top", "w")).alias("x"))
+    once = once.select("x.bucket", F.col("x.top.label").alias("top"), (F.col("m") - F.col("x.top.m")).alias("rest_m"), (F.col("x.w") - F.col("x.top.w")).alias("rest_w"), F.col("x.top.m").alias("m"), F.col("x.top.w").alias("w"))
     found = cut(_compared(labelled.join(once, "bucket"), texts, k, percent), "links")
     if not found.isEmpty():
         labels = cut(components(links.unionByName(found), "a", "b"), "labels")
-    groups = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
+    groups = classes.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     component = F.coalesce("component", "id")
-    out = sigs.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left")
+    out = sigs.select("id", "n", "k1", "k2").join(cut(groups, "groups"), ["k1", "k2"], "left")
     return out.select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
@@ -236,16 +251,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings: int) -> DataFrame:
-    """The documents with one of each component, that of the smallest id, all columns; of rows that share an id one stays."""
-    found = near_duplicates(docs, id_column, text_column, **settings)
-    kept = found.where("kept and %s is not null" % id_column).select(id_column).distinct()
-    only = Window.partitionBy(id_column).orderBy(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
-    return docs.join(kept, id_column, "left_semi").withColumn("_storyloom_row", F.row_number().over(only)).where("_storyloom_row = 1").drop("_storyloom_row")
-
-
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings: int) -> DataFrame:
-    """The documents with one row of each group of linked rows, all columns: that of the smallest id.
+    """The documents with one row of each group of linked rows, all columns: that of the smallest id, or by content among equal ids.
 
     Decided row by row: ids link nothing. A row that is linked with none stays, without an id or under an id that other
     rows have too; of a group without ids one row stays, and of rows without words all. The rows are numbered in a

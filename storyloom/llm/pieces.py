@@ -3,8 +3,8 @@
 The encoder keeps, for each run of text, an agenda of adjacent symbol pairs ordered by the score of the piece
 they would make (ties: the leftmost), and merges until no pair makes a piece. Symbols that are no piece become
 byte pieces. No piece of such a vocabulary crosses from text to the word mark, so a text is dealt with in runs
-"marks + characters", and a run's ids are kept in a bounded memo of the worker. Every run that is new to a
-worker is checked against the sentencepiece library, for its ids and for its decoding, a batch at a time.
+"marks + characters", and a run's ids are kept in a memo of bounded bytes, which ends with the task. Every run that is
+new to a memo is checked against the sentencepiece library, for its ids and for its decoding, a batch at a time.
 
 Defined cases: a null or empty text has the end id alone and decodes to the empty text; very long texts are
 encoded whole; other columns pass by untouched; an empty table gives an empty result.
@@ -27,8 +27,10 @@ MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
 #: Runs up to this length go through the agenda together, longer ones alone.
 SHORT_RUN = 40
-#: Each of a worker's two memo generations holds so many runs.
-MEMO_SIZE = 300_000
+#: Bytes that each of the two memo generations holds, about, and what a run takes besides its characters and digits.
+MEMO_BYTES, RUN_BYTES = 24_000_000, 250
+#: Characters of text that are encoded at once, and new runs.
+SLICE_CHARS, SLICE_RUNS = 1_000_000, 20_000
 _NEVER = np.int64(1) << 40
 
 
@@ -73,10 +75,22 @@ class PieceCodec:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        #: Of each run: its ids as decimals; the generation before; and decodings that aren't the run itself.
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memo: of each run its ids as decimals, the generation before, and decodings that aren't the run itself."""
         self.memo: dict[str, str] = {}
         self.elder: dict[str, str] = {}
         self.changed: dict[str, str] = {}
+        self.held = 0
+
+    def _remember(self, found: dict[str, str]) -> None:
+        """Adds runs to the memo; a generation that is full becomes the elder one, and the one before it goes."""
+        if self.held > MEMO_BYTES:
+            self.memo, self.elder, self.held = {}, self.memo, 0
+            self.changed = {r: t for r, t in self.changed.items() if r in self.elder}
+        self.memo.update(found)
+        self.held += sum(RUN_BYTES + len(r) + len(i) for r, i in found.items())
 
     def symbol(self, s: str) -> int:
         return self.ids[s] if s in self.ids else self.size + ord(s)
@@ -213,29 +227,28 @@ class PieceCodec:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text: its ids (no end id) as decimals joined by spaces, and the text that they decode to."""
-        if len(self.memo) > MEMO_SIZE:
-            self.memo, self.elder, self.changed = {}, self.memo, {}
         cut = [self.runs(t) for t in texts]
-        memo, elder, unseen = self.memo, self.elder, set()
-        for c in cut:
-            unseen.update(c)
-        unseen.difference_update(memo)
-        again = {r: elder[r] for r in unseen if r in elder}
-        memo.update(again)
-        unseen.difference_update(again)
-        passing: dict[str, str] = {}
-        if unseen:
-            learned, odd = self.learn(list(unseen))
-            self.changed.update(odd)
-            for r, i in learned.items():
-                (memo if len(r) <= SHORT_RUN else passing)[r] = i
+        need = set(chain.from_iterable(cut))
+        known = {r: self.memo[r] for r in need if r in self.memo}
+        again = {r: self.elder[r] for r in need if r not in known and r in self.elder}
+        known |= again
+        changed = {r: self.changed[r] for r in need if r in self.changed} if self.changed else {}
+        unseen = [r for r in need if r not in known]
+        for at in range(0, len(unseen), SLICE_RUNS):
+            learned, odd = self.learn(unseen[at : at + SLICE_RUNS])
+            known |= learned
+            changed |= odd
+            short = {r: i for r, i in learned.items() if len(r) <= SHORT_RUN}
+            self._remember(short)
+            self.changed |= {r: t for r, t in odd.items() if r in short}
+        self._remember(again)
+        self.changed |= {r: changed[r] for r in again if r in changed}
         out = []
         for c, text in zip(cut, texts):
-            ids = " ".join([passing[r] if r in passing else memo[r] for r in c] if passing else map(memo.__getitem__, c))
             decoded = text.replace(MARK, " ")
-            if self.changed and not self.changed.keys().isdisjoint(c):
-                decoded = "".join(self.changed.get(r, r) for r in c).removeprefix(" ")
-            out.append((ids, decoded))
+            if changed and not changed.keys().isdisjoint(c):
+                decoded = "".join(changed.get(r, r) for r in c).removeprefix(" ")
+            out.append((" ".join(map(known.__getitem__, c)), decoded))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -261,41 +274,43 @@ def _sha(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8")).hexdigest()
 
 
-#: Characters of text that are encoded at once.
-SLICE_CHARS = 4_000_000
-
-
 def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", tokens: bool = False) -> DataFrame:
     """Per row: id, n_tokens (with the end id), ids_sha256, decoded_sha256, and ids with `tokens`.
 
-    One narrow pass over the two columns; memory holds one Arrow batch and the memo.
+    One narrow pass over the two columns; memory holds one Arrow batch, the vocabulary and the memo, which ends with the task.
     """
     id_type = docs.schema[id_column].dataType
     schema = f"{id_column} {id_type.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * tokens
 
+    def encoded(c: PieceCodec, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        end = str(c.end)
+        lengths = pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_pylist()
+        at = 0
+        while at < len(lengths):
+            upto, chars = at, 0
+            while upto < len(lengths) and (upto == at or chars + lengths[upto] <= SLICE_CHARS):
+                chars += lengths[upto]
+                upto += 1
+            batch = whole.slice(at, upto - at)
+            at = upto
+            found = c.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            ids = [f"{i} {end}" if i else end for i, _ in found]
+            columns = [
+                batch.column(0),
+                pa.array([i.count(" ") + 1 for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(i.encode("ascii")).hexdigest() for i in ids]),
+                pa.array([_sha(t) for _, t in found]),
+            ]
+            if tokens:
+                columns.append(pa.array([[int(x) for x in i.split()] for i in ids], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * tokens)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        end = str(c.end)
-        for whole in batches:
-            lengths = pc.fill_null(pc.utf8_length(whole.column(1)), 0).to_pylist()
-            at = 0
-            while at < len(lengths):
-                upto, chars = at, 0
-                while upto < len(lengths) and (upto == at or chars + lengths[upto] <= SLICE_CHARS):
-                    chars += lengths[upto]
-                    upto += 1
-                batch = whole.slice(at, upto - at)
-                at = upto
-                found = c.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-                ids = [f"{i} {end}" if i else end for i, _ in found]
-                columns = [
-                    batch.column(0),
-                    pa.array([i.count(" ") + 1 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i.encode("ascii")).hexdigest() for i in ids]),
-                    pa.array([_sha(t) for _, t in found]),
-                ]
-                if tokens:
-                    columns.append(pa.array([[int(x) for x in i.split()] for i in ids], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [id_column, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * tokens)
+        try:
+            for whole in batches:
+                yield from encoded(c, whole)
+        finally:
+            c.forget()
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import mix64, utf8_arrays, word_hashes
+from storyloom.llm._common import mix64, shared_value, utf8_arrays, word_hashes
 
 LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "bare_marks", "equal_lines", "prose", "variety")
 #: Documents (about; those of the smallest id hashes) that the scorer is trained on, and its hashed features.
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
 
 def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: QualityModel | None = None) -> DataFrame:
     """Per row: id, votes (array in the order of LABELLERS, null without words), posterior, score, kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_column, text_column))
+    shared = shared_value(docs.sparkSession, model or fit(docs, id_column, text_column))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that the scorer keeps, with all their columns; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_column, text_column))
+    shared = shared_value(docs.sparkSession, fit(docs, id_column, text_column))
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

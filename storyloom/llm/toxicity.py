@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import PLAIN, cut, word_hashes
+from storyloom.llm._common import PLAIN, cut, shared_value, word_hashes
 
 #: Labelled documents (about; those of the smallest id hashes) that the model is fitted on, and its words.
 SAMPLE, WORDS = 10_000, 1_000
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
 def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, severity (expected grade), grade (the most thresholds passed with one half), toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_column, text_column))
+    shared = shared_value(docs.sparkSession, fit(docs, labels, id_column, text_column))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that aren't toxic, with all their columns; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_column, text_column))
+    shared = shared_value(docs.sparkSession, fit(docs, labels, id_column, text_column))
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import PLAIN, cut, mix64, utf8_arrays, word_hashes
+from storyloom.llm._common import PLAIN, cut, mix64, shared_value, utf8_arrays, word_hashes
 
 #: Words of the broadcast arrays of WORDS^2, with a place for all rarer words (0) and the border (the last).
 WORDS = 2048
@@ -222,7 +222,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
     """Per row: id, n_tokens (words and the end), ce_target, ce_background, ce_difference (nats per token)."""
     target = cut(target.select(text_column), "target")
     models = fit(docs, target, text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = shared_value(docs.sparkSession, models)
     kind = docs.schema[id_column].dataType.simpleString()
     numbered = docs.select(F.col(id_column).alias("_id"), text_column).withColumn("_row", F.monotonically_increasing_id())
 

@@ -40,13 +40,16 @@ def test_pieces_of_a_table(spark):
 def test_memo_generations_keep_results():
     c = pieces.PieceCodec(piece_model())
     before = c.encode_batch(["one two three", "four five"])
-    pieces.MEMO_SIZE, size = 3, pieces.MEMO_SIZE
+    pieces.MEMO_BYTES, size = 3 * pieces.RUN_BYTES, pieces.MEMO_BYTES
     try:
         for text in ("six seven eight nine", "ten", "one two three"):
             c.encode_batch([text])
+            assert c.held <= 2 * pieces.MEMO_BYTES + 4 * 2 * pieces.RUN_BYTES
         assert c.encode_batch(["one two three", "four five"]) == before
+        c.forget()
+        assert not (c.memo or c.elder or c.changed or c.held) and c.encode_batch(["one two three", "four five"]) == before
     finally:
-        pieces.MEMO_SIZE = size
+        pieces.MEMO_BYTES = size
 
 
 PAGES = "page_id long, url string, html string, block string"

@@ -74,6 +74,7 @@ def test_components_match_brute_force(spark):
 
 def test_blocks_hold_all_links(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     docs = planted(2)
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
     assert found == brute_components(docs, 85)
@@ -101,9 +102,9 @@ def test_repeated_ids_nulls_and_other_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string, n int")
     found = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()), key=str)
     assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (9, 9, True), (9, 9, True)], key=str)
-    kept = neardup.deduplicated(docs)
+    kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 9]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d e f"), ("1", "q r s t u v"), ("9", "p p"), ("None", "only here now")]
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 
