@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import registry
-from storyloom.llm._common import cut, table
+from storyloom.llm._common import drop, scope, table
 from storyloom.llm.decontam import without_hits
 from storyloom.llm.neardup import one_of_each
 from storyloom.llm.pieces import encode_documents
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; each one's scratch tables and broadcasts go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as own:
+            before, docs = docs, own.finish(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return docs
