@@ -2,20 +2,21 @@
 
 The index holds, by term, the items in blocks of neighbouring ids with the largest weight of each block. A weight is
 the term's BM25 part in the item divided by the score that the whole item would get, so that a passage's score is the
-share of the item that it covers and one threshold serves all items. A document is cut into passages of twice the
-longest item's words at half that stride, so that every occurrence of an item lies in one passage. A passage is
-dropped if the sum of its terms' maxima is below the threshold, then block by block if the sum of the block maxima
+share of the item that it covers and one threshold serves all items. Items are dealt to classes by length, and a
+document is cut into passages of twice the class's longest item at half that stride, so that every occurrence of an
+item lies in one passage and one long item stretches the passages of its own class alone. A passage is dropped if the sum of its terms' maxima is below the threshold, then block by block if the sum of the block maxima
 is; in the blocks left, cursors over the postings move by block-max WAND. All items at or above the threshold are
 retrieved, and verified: question and answer must both share enough of their word trigrams with the passage. The
 answer is an item's last sentence, or its last third where there is but one sentence.
 
-The test set is cut into index blocks of bounded size (ITEMS, WORDS), each broadcast in turn, with idf and mean
-length over the whole set. Documents are read in one narrow pass; nothing is shuffled.
+Document frequencies and the mean length are counted by Spark over the whole test set. The set is cut into index
+blocks of bounded size (ITEMS, WORDS); the driver and the workers hold one block at a time, and its hits are written
+before the next is built where there are several. Documents are read in one narrow pass for each block; none is moved.
 
 Defined cases: null or empty texts have no hits; items without words match nothing; items of fewer than three words in
-question or answer are verified by whole words; rows that share an id give hits each; an item without an id is looked for like any other
-and gives hits with a null item_id; empty tables give empty results; other columns are not looked at, or kept by
-without_hits().
+question or answer are verified by whole words; rows that share an id give hits each, and so do repeated items; an item
+without an id is looked for like any other and gives hits with a null item_id; ties in score are all retrieved; empty
+tables give empty results; other columns are not looked at, or kept by without_hits().
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from storyloom.llm._common import PLAIN, mix64, shared_value, word_hashes
+from storyloom.llm._common import PLAIN, cut, mix64, scope, shared_value, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the trigrams of question and of answer.
 THRESHOLD, OVERLAP = 0.5, 0.5
-#: Items of an index block (a bounded broadcast) and their words; neighbouring items that share a block maximum.
-ITEMS, WORDS, NEIGHBOURS = 20_000, 4_000_000, 4
-#: Least words of a passage's stride.
+#: Items of an index block (a bounded broadcast) and their words, about; neighbouring items that share a block maximum.
+ITEMS, WORDS, NEIGHBOURS = 20_000, 1_000_000, 4
+#: Words of a passage's stride in the class of the shortest items; each next class has twice as many.
 STRIDE = 64
 
 
@@ -65,9 +68,9 @@ def grams(words: np.ndarray, n: int = 3) -> np.ndarray:
 
 
 class ItemIndex:
-    """The postings of one block of test items."""
+    """The postings of one block of test items, of `longest` words at most."""
 
-    def __init__(self, items: list[tuple[int, str]], n_all: int, mean_words: float, df: dict[int, int], longest: int) -> None:
+    def __init__(self, items: list[tuple], n_all: int, mean_words: float, df: dict[int, int], longest: int) -> None:
         self.ids = [i for i, _ in items]
         self.stride = max(STRIDE, longest)
         self.parts = []
@@ -179,58 +182,82 @@ class ItemIndex:
         return [(row, *best[row][1:]) for row in sorted(best)]
 
 
-def build_indexes(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[ItemIndex]:
-    """The test set as index blocks. The set is the one table that is read to the driver, item by item and block by block."""
-    items = benchmark.select(id_column, text_column).orderBy(id_column, text_column)
-    n, words, longest, df = 0, 0, 1, {}
-    for _, text in items.toLocalIterator():
-        w = plain_words(text)
-        n, words, longest = n + 1, words + len(w), max(longest, len(w))
-        for t in np.unique(w).tolist():
-            df[t] = df.get(t, 0) + 1
-    out, block, held = [], [], 0
-    for item, text in items.toLocalIterator():
-        size = len(plain_words(text))
-        if block and (len(block) >= ITEMS or held + size > WORDS):
-            out.append(ItemIndex(block, n, words / max(n, 1) or 1.0, df, longest))
-            block, held = [], 0
-        block.append((item, text))
-        held += size
-    return out + ([ItemIndex(block, n, words / max(n, 1) or 1.0, df, longest)] if block else [])
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+class TestItems:
+    """The test set with its statistics, as index blocks that are built one after another."""
+
+    def __init__(self, benchmark: DataFrame, id_column: str, text_column: str) -> None:
+        self.kind = benchmark.schema[id_column].dataType
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [plain_words(t.as_py()) for t in batch.column(1)]
+                stride = [STRIDE << max(0, (len(w) - 1) // STRIDE).bit_length() for w in words]
+                columns = [pa.array([len(w) for w in words], pa.int64()), pa.array(stride, pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["item", "text", "n", "stride", "words"])
+
+        items = benchmark.select(F.col(id_column).alias("item"), F.col(text_column).alias("text"))
+        self.items = cut(items.mapInArrow(counted, f"item {self.kind.simpleString()}, text string, n bigint, stride bigint, words array<bigint>"), "items")
+        sizes = self.items.groupBy("stride").agg(F.count("*").alias("items"), F.sum("n").alias("words")).orderBy("stride").collect()  # a row for each class
+        self.n, words = sum(r["items"] for r in sizes), sum(r["words"] for r in sizes)
+        self.mean = words / max(self.n, 1) or 1.0
+        self.df = cut(self.items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "item-words")
+        pieces = [(r["stride"], max(-(-r["items"] // ITEMS), -(-r["words"] // WORDS))) for r in sizes if r["words"]]
+        #: Class, block and number of blocks of each block; several blocks of a class are dealt with a margin.
+        self.blocks = [(stride, b, n) for stride, k in pieces for n in [k if k == 1 else -(-k * 5 // 4)] for b in range(n)]
+
+    def index(self, stride: int, b: int, n: int) -> ItemIndex:
+        own = self.items.where((F.col("stride") == stride) & (F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b))
+        rows = own.select("item", "text").orderBy("item", "text").collect()
+        df = own.select(F.explode("words").alias("word")).distinct().join(self.df, "word").collect()
+        return ItemIndex([tuple(r) for r in rows], self.n, self.mean, {r["word"] & ((1 << 64) - 1): r["df"] for r in df}, stride)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """One row per document and test item found in it: id, item_id, score, question_overlap, answer_overlap, word_offset."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, word_offset bigint"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in build_indexes(benchmark):
-        shared = shared_value(docs.sparkSession, index)
+    items = TestItems(benchmark, item_column, text_column)
+    kind, item_type = docs.schema[id_column].dataType.simpleString(), to_arrow_type(items.kind)
+    schema = f"{id_column} {kind}, item_id {items.kind.simpleString()}, score double, question_overlap double, answer_overlap double, word_offset bigint"
+
+    def found_in(block: tuple[int, int, int]) -> DataFrame:
+        shared = shared_value(docs.sparkSession, items.index(*block))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 found = [(k, index.ids[h[0]], *h[1:]) for k, t in enumerate(batch.column(1)) for h in index.hits(t.as_py(), threshold, overlap)]
                 if found:
                     at, *columns = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())))],
+                        [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, (item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64())))],
                         [id_column, "item_id", "score", "question_overlap", "answer_overlap", "word_offset"],
                     )
 
-        out = out.unionByName(docs.select(id_column, text_column).mapInArrow(run, schema))
+        return docs.select(id_column, text_column).mapInArrow(run, schema)
+
+    if len(items.blocks) == 1:
+        return found_in(items.blocks[0])
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in items.blocks:
+        with scope() as own:
+            out = out.unionByName(own.finish(found_in(block), "hits"))
     return out
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_column: str = "text") -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """The documents in which no test item is found, with all their columns."""
+    items = TestItems(benchmark, item_column, text_column)
     place = docs.columns.index(text_column)
-    for index in build_indexes(benchmark):
-        shared = shared_value(docs.sparkSession, index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def clean(docs: DataFrame, block: tuple[int, int, int]) -> DataFrame:
+        shared = shared_value(docs.sparkSession, items.index(*block))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.hits(t.as_py(), threshold, overlap) for t in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    for block in items.blocks[:-1]:
+        with scope() as own:
+            docs = own.finish(clean(docs, block), "clean")
+    return clean(docs, items.blocks[-1]) if items.blocks else docs

@@ -201,8 +201,9 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, monkeypatch):
     docs += [(900, None), (901, ""), (902, "...")]
     frame = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame([*tests, (77, None), (78, ""), (None, "no id here at all")], "item_id long, text string")
-    for items_each in (20_000, 13):
+    for items_each, stride in ((20_000, 64), (13, 64), (20_000, 4)):
         monkeypatch.setattr(decontam, "ITEMS", items_each)
+        monkeypatch.setattr(decontam, "STRIDE", stride)  # several classes of length
         hits = decontam.contaminated(frame, benchmark).collect()
         assert {(h.doc_id, h.item_id) for h in hits} == set(dirty.items())
         clean = decontam.without_hits(frame, benchmark)
@@ -215,4 +216,6 @@ def test_items_without_an_id_are_found(spark):
     docs = spark.createDataFrame([(1, "some words before " + item + " and after", "x"), (2, "nothing of that kind here", "x")], DOCS)
     benchmark = spark.createDataFrame([(None, item), (None, None), (4, "another question altogether. its answer is here.")], "item_id long, text string")
     assert [(h.doc_id, h.item_id) for h in decontam.contaminated(docs, benchmark).collect()] == [(1, None)]
+    named = benchmark.selectExpr("concat('item ', coalesce(item_id, 0)) as item_id", "text")
+    assert [(h.doc_id, h.item_id) for h in decontam.contaminated(docs, named).collect()] == [(1, "item 0")]
     assert [r.doc_id for r in decontam.without_hits(docs, benchmark).collect()] == [2]
