@@ -8,12 +8,13 @@ writer commits the files (whole-file gzip), so a lost task leaves no half archiv
 
 Reading: files are split into records by their Content-Length; continuation records are grouped by origin, ordered by
 segment number, checked for gaps and for the total length, joined, and the chunked framing is decoded. A record
-that fails a check comes out with the reason in `problem` and no payload.
+that fails a check comes out with the reason in `problem` and no payload; after bytes that are no record, reading goes
+on at the next record head.
 
 Defined cases: a null payload is empty; a null id is written without an id and is smaller than any other; of rows
-that share id and payload each is a record with a record id of its own, and those of the largest id are each stored; null URLs are written as
-`urn:page:<id>`; other columns are not looked at; an empty table gives no records. Payloads are text; a segment ends
-between characters.
+that share id and payload each is a record with a record id of its own, and those of the largest id are each stored;
+null URLs are written as `urn:page:<id>`, control characters in URLs as %XX; other columns are not looked at; an empty
+table gives no records. Payloads are text; a segment ends between characters.
 """
 
 from __future__ import annotations
@@ -24,14 +25,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.llm._common import cut
+
 VERSION = "WARC/1.1"
 #: Characters of a block's segment, of a chunk of the framing, and records of a file: together they bound a file's size.
 SEGMENT_CHARS, CHUNK_CHARS, FILE_RECORDS = 16_384, 4_096, 2_000
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1_000
+#: Up to so many repeated digests (some 40 bytes each) are broadcast to the pages; beyond it the pages are shuffled to them.
+REPEATED = 200_000
 _DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 
@@ -66,10 +71,15 @@ def unchunked(framed: bytes) -> bytes:
         at += n + 2
 
 
+def header_value(s: str) -> str:
+    """Control characters would end a header line: they are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", s)
+
+
 def records_of(page_id: int | None, url: str | None, payload: str, digest: str, refers_to: int | None, row: int = 0) -> list[str]:
     """The WARC records of a page, each as text without its last line feed (the text writer adds it). `row` tells equal pages apart."""
     record_id = hashlib.sha256(f"{page_id}|{url}|{digest}|{row}".encode()).hexdigest()
-    identity = [("WARC-Date", _DATE), ("WARC-Target-URI", url if url is not None else f"urn:page:{page_id}"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    identity = [("WARC-Date", _DATE), ("WARC-Target-URI", header_value(url) if url is not None else f"urn:page:{page_id}"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if page_id is not None:
         identity.append(("X-Page-ID", str(page_id)))
 
@@ -98,14 +108,17 @@ def records_of(page_id: int | None, url: str | None, payload: str, digest: str,
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> None:
     """Writes the pages' records as .txt.gz archives under path.
 
-    The digests' winners are found on lean rows; the payloads move once, in the join with the winners of digests that
-    occur repeatedly, which adaptive execution splits where one payload is very frequent. A row's number, which needs no
-    shuffle, is part of its record ids: all records of a row are written by one task, and so agree on it.
+    The winners of digests that occur repeatedly are found on lean rows and written. Up to REPEATED of them are broadcast
+    to the pages, which then don't move; more are joined, and adaptive execution splits where one payload is very
+    frequent. A row's number, which needs no shuffle, is part of its record ids: all records of a row are written by one
+    task, and so agree on it.
     """
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     digest = F.sha1(F.col("payload").cast("binary"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("id", digest.alias("digest"))
     winners = large.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    winners = cut(winners, "winners")
+    winners = F.broadcast(winners) if winners.count() <= REPEATED else winners
     rows = rows.withColumn("digest", digest).join(winners, "digest", "left")
     rows = rows.select("id", "url", "payload", "digest", F.when(~F.col("winner").eqNullSafe(F.col("id")), F.col("winner")).alias("refers_to"), F.monotonically_increasing_id().alias("row"))
 
@@ -122,81 +135,101 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive, plain or gzip (one member or several): header fields in lower case, and the block."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            member = zlib.decompressobj(31)
+_FIELDS = ("kind", "record_id", "origin", "number", "total", "url", "page_id", "digest", "refers_to", "block", "problem")
+_RECORD = "kind string, record_id string, origin string, number int, total bigint, url string, page_id bigint, digest string, refers_to bigint, block binary, problem string"
+_ARROW = pa.schema(list(zip(_FIELDS, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()))))
+
+
+def unzipped(data: bytes) -> bytes:
+    """Plain bytes of an archive, plain or gzip (one member or several); of a cut-off member what can be read."""
+    plain = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
             plain.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(plain)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record begins at byte {at}")
-        first = data.find(b"\r\n", at) + 2
-        fields = {k.decode("utf-8").lower(): v.decode("utf-8") for k, v in _HEADER.findall(data[first : end + 2])}
-        n = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = end + 8 + n
+        except zlib.error:
+            break
+        data = member.unused_data
+    else:
+        plain.append(data if not plain else b"")
+    return b"".join(plain)
 
 
-_RECORD = "kind string, record_id string, origin string, number int, total bigint, url string, page_id bigint, digest string, refers_to bigint, block binary"
+def parse(data: bytes) -> Iterator[tuple]:
+    """The records of an archive as rows of _FIELDS; what is no record gives a row with a problem alone."""
+    data, at = unzipped(data), 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        try:
+            if not data.startswith(b"WARC/", at) or end < 0:
+                raise ValueError("no record begins")
+            first = data.find(b"\r\n", at) + 2
+            f = {k.decode("utf-8").lower(): v.decode("utf-8") for k, v in _HEADER.findall(data[first : end + 2])}
+            number = lambda key: int(f[key]) if key in f else None  # noqa: E731, B023
+            n = int(f["content-length"])
+            block = data[end + 4 : end + 4 + n]
+            if n < 0 or len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+                raise ValueError("a record is cut off")
+            digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            yield (
+                f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"),
+                f.get("warc-target-uri"), number("x-page-id"), digest, number("x-refers-to-page-id"), block, None,
+            )
+            at = end + 8 + n
+        except (ValueError, KeyError) as e:
+            yield (*[None] * 10, f"at byte {at}: {e}")
+            at = data.find(b"\r\n\r\nWARC/", at + 1) + 4
+            if at < 4:
+                return
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives under path; a file is held in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("url", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())])
-        number = lambda f, key: int(f[key]) if key in f else None
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse(data.as_py()):
-                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    rows.append((f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"), number(f, "warc-segment-number"), number(f, "warc-segment-total-length"), f.get("warc-target-uri"), number(f, "x-page-id"), digest, number(f, "x-refers-to-page-id"), block))
-                    held += len(block)
+                for row in parse(data.as_py()):
+                    rows.append(row)
+                    held += len(row[9] or b"")
                     if held > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        yield out(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, _RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Response and revisit records with whole blocks: continuation records are joined to their origin.
+    """Records with the parts of their blocks in order: continuation records are put to their origin.
 
-    Only records that have segments move. Adds `problem`: null, or why the block isn't whole.
+    Only records that have segments move. `problem` tells why a block isn't whole.
     """
-    whole = records.where("kind <> 'continuation' and number is null").withColumn("problem", F.lit(None).cast("string"))
+    whole = records.where("number is null and (kind is null or kind <> 'continuation')").withColumn("parts", F.when(F.col("block").isNotNull(), F.array("block")))
     parts = records.where("number is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     first = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("kind", "url", "page_id", "digest", "refers_to")]
     joined = parts.groupBy("origin").agg(
         *first,
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
         F.max("total").alias("total"),
+        F.sum(F.octet_length("block")).alias("length"),
     )
-    numbers, n = F.col("parts.number"), F.size("parts")
-    block = F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.block)")
-    gap = ~(numbers == F.sequence(F.lit(1), n))
+    gap = ~(F.col("parts.number") == F.sequence(F.lit(1), F.size("parts")))
     problem = (
         F.when(F.col("kind").isNull(), "the first segment is missing")
         .when(gap, "segments are missing or repeated")
         .when(F.col("total").isNull(), "the last segment is missing")
-        .when(F.octet_length("block") != F.col("total"), "the total length differs")
+        .when(F.col("length") != F.col("total"), "the total length differs")
     )
-    joined = joined.withColumn("block", block).withColumn("problem", problem)
-    shared = ["kind", "url", "page_id", "digest", "refers_to", "block", "problem"]
-    return whole.select(F.col("record_id"), *shared).unionByName(joined.select(F.col("origin").alias("record_id"), *shared))
+    joined = joined.withColumn("problem", problem).withColumn("parts", F.col("parts.block"))
+    shared = ["kind", "url", "page_id", "digest", "refers_to", "parts", "problem"]
+    lost = records.where("number is null and kind = 'continuation'").withColumn("problem", F.lit("a continuation has no segment number"))
+    lost = lost.withColumn("parts", F.lit(None).cast("array<binary>"))
+    return whole.select(F.col("record_id"), *shared).unionByName(joined.select(F.col("origin").alias("record_id"), *shared)).unionByName(lost.select("record_id", *shared))
 
 
 def payloads(whole: DataFrame) -> DataFrame:
@@ -208,10 +241,11 @@ def payloads(whole: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for kind, declared, block, problem in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6, 7))):
+            for kind, declared, parts, problem in zip(*(batch.column(i) for i in (4, 5, 6, 7))):
+                kind, declared, problem = kind.as_py(), declared.as_py(), problem.as_py()
                 body, n, digest = None, None, declared
                 if problem is None:
-                    http, _, body = block.partition(b"\r\n\r\n")
+                    http, _, body = b"".join(parts.as_py()).partition(b"\r\n\r\n")
                     fields = {k.lower(): v for k, v in _HEADER.findall(http.partition(b"\r\n")[2] + b"\r\n")}
                     try:
                         if kind == "revisit":
@@ -227,7 +261,7 @@ def payloads(whole: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.string()))] if out else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(2), *columns], ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "problem"])
 
-    columns = whole.select("page_id", "url", "refers_to", "record_id", "kind", "digest", "block", "problem")
+    columns = whole.select("page_id", "url", "refers_to", "record_id", "kind", "digest", "parts", "problem")
     return columns.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string, problem string")
 
 

@@ -125,6 +125,26 @@ def recalled(frame, top=20):
     return hit / total
 
 
+def test_warc_control_characters_and_broken_bytes(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://a/\r\n\r\nWARC/1.1\r\nX: y", "one"), (2, "a\nb\x00", "x" * 1500), (3, "c", "x" * 1500), (4, "d", "two")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (200_000, 0):  # the winners broadcast, and joined
+        monkeypatch.setattr(warc, "REPEATED", most)
+        warc.write_archives(frame, path := f"file://{tmp_path}/w{most}")
+        found = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+        assert set(found) == {1, 2, 3, 4} and all(r.problem is None for r in found.values())
+        assert found[1].url == "http://a/%0D%0A%0D%0AWARC/1.1%0D%0AX: y" and bytes(found[1].payload) == b"one" and found[2].url == "a%0Ab%00"
+        assert (found[2].record_type, found[2].refers_to) == ("revisit", 3)
+    good = [warc.records_of(i, "u", "page %d" % i, hashlib.sha1(b"page %d" % i).hexdigest(), None)[0] + "\n" for i in (1, 2, 3)]
+    broken = [good[0], "rubbish\r\n\r\n", good[1], good[2][:-20] + "\r\n\r\n"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.gz").write_bytes("".join(broken).encode())
+    (tmp_path / "b" / "c.gz").write_bytes(__import__("gzip").compress("".join(good).encode())[:-30])
+    out = warc.read_archives(spark, f"file://{tmp_path}/b").collect()
+    whole = [r.page_id for r in out if r.problem is None]
+    assert whole.count(1) >= 1 and whole.count(2) >= 1 and [r.problem for r in out if r.problem and "no record begins" in r.problem] and [r.problem for r in out if r.problem and "cut off" in r.problem]
+
+
 def test_neighbours_recall_and_order(spark):
     for sf in ("sf0.001", "sf0.01", "sf0.1"):
         assert recalled(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")) >= 0.9
