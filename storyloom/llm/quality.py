@@ -1,13 +1,15 @@
 """Document quality from overlapping heuristics: a weak-label model and a hashed linear scorer.
 
 Six labellers know one kind of junk each and vote bad (-1) or abstain (0) on a document, from shares of its bytes, words
-and lines; two vote good (1) on signs of prose, one of them bad on poor vocabulary. Their votes make one of 3^8 patterns; the patterns are counted over all documents, and expectation-maximisation on the
-counts estimates, for a good and a bad document each, how often every labeller casts each vote. The pattern's
-posterior is the weak label. A logistic scorer over hashed features (words, triples of character classes, binned
-shares) is trained on the posteriors of a bounded sample and scores every document; documents below one half go.
+and lines; two vote good (1) on signs of prose, one of them bad on poor vocabulary. Their votes make one of 3^8
+patterns; the patterns are counted over all documents, and expectation-maximisation on the counts estimates, for a good
+and a bad document each, how often every labeller casts each vote. The pattern's posterior is the weak label. A
+logistic scorer over hashed features (words, triples of character classes, binned shares) is trained on the posteriors
+of a bounded sample of distinct texts and scores every document; documents below one half go.
 
 Defined cases: a null or empty text, or one without words, has score 0 and goes; texts of any length are read whole;
-repeated rows are counted and scored each; an empty table gives an empty result; other columns pass by untouched.
+repeated rows are counted and scored each and count once in the sample, which doesn't look at ids; where the sample
+is empty the posterior's side decides; an empty table gives an empty result; other columns pass by untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from storyloom.llm._common import mix64, shared_value, utf8_arrays, word_hashes
 
 LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "bare_marks", "equal_lines", "prose", "variety")
-#: Documents (about; those of the smallest id hashes) that the scorer is trained on, and its hashed features.
+#: Distinct texts (about; those of the smallest hashes) that the scorer is trained on, and its hashed features.
 SAMPLE, FEATURES = 4_000, 1 << 15
 #: From these shares on, the first six vote bad; up to the second bounds, all six at once, a text can be prose.
 BAD = np.array([0.2, 0.4, 0.25, 0.2, 0.2, 0.75])
@@ -137,6 +139,7 @@ class QualityModel:
 
     def __init__(self, posterior: dict[int, float], prior: float, weights: np.ndarray, intercept: float) -> None:
         self.posterior, self.prior, self.weights, self.intercept = posterior, prior, weights, intercept
+        self.trained = bool(weights.any()) or intercept != 0.0
 
     def score(self, data: np.ndarray) -> tuple[int, float | None, float]:
         """Pattern, posterior and score of a text's bytes; without words -1, null and 0."""
@@ -146,8 +149,11 @@ class QualityModel:
         s = shares(data, words, starts, ends)
         pattern = encode(votes(s, len(words)))
         at, value = features(data, words, s)
+        posterior = self.posterior.get(pattern, self.prior)
+        if not self.trained:
+            return pattern, posterior, posterior
         z = float((self.weights[at] * value).sum() + self.intercept)
-        return pattern, self.posterior.get(pattern, self.prior), float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return pattern, posterior, float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
 def encode(v: np.ndarray) -> int:
@@ -158,7 +164,7 @@ def decode(pattern: int) -> np.ndarray:
     return pattern // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> QualityModel:
+def fit(docs: DataFrame, text_column: str = "text") -> QualityModel:
     """Counts the patterns over all documents, runs EM on them, and trains the scorer on a bounded sample."""
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +196,10 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["pattern", "at", "value"])
 
+    # a text's hash decides, so that equal texts, however many, leave one row
     share = min(1.0, SAMPLE / counts.sum())
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(11), id_column), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.select(text_column).mapInArrow(sampled, "pattern int, at binary, value binary").collect()
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit(11), text_column), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = chosen.select(text_column).mapInArrow(sampled, "pattern int, at binary, value binary").distinct().collect()
     rows.sort(key=lambda r: (r["pattern"], bytes(r["at"]), bytes(r["value"])))
     x = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float)) for r in rows]
     weights, intercept = fit_logistic(x, np.array([posterior[r["pattern"]] for r in rows]), FEATURES)
@@ -201,7 +208,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
 
 def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: QualityModel | None = None) -> DataFrame:
     """Per row: id, votes (array in the order of LABELLERS, null without words), posterior, score, kept."""
-    shared = shared_value(docs.sparkSession, model or fit(docs, id_column, text_column))
+    shared = shared_value(docs.sparkSession, model or fit(docs, text_column))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +223,9 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, votes array<int>, posterior double, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The documents that the scorer keeps, with all their columns; nothing is shuffled."""
-    shared = shared_value(docs.sparkSession, fit(docs, id_column, text_column))
+    shared = shared_value(docs.sparkSession, fit(docs, text_column))
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
