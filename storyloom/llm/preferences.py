@@ -73,12 +73,15 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id
 
 
 def with_stale_reply(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Pairs from plain conversations: chosen ends with the last assistant turn; in rejected that turn repeats the
-    assistant turn before it, or the first turn where there is none. Conversations without an assistant make no pair."""
+    """Pairs from plain conversations: chosen is the conversation, rejected the same with one assistant turn repeating the
+    assistant turn before it (or the first turn where there is none). A hash of the key says which turn. All turns
+    stay on both sides; a conversation without an assistant is paired with itself."""
     rows = turns_by_conversation(conversations, key)
-    replies = F.filter("turns", lambda t: t["role"] == TRAINED_ROLE)
-    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"]), TRAINED_ROLE) + 1
-    rows = rows.withColumn("replies", replies).where(F.size("replies") > 0).withColumn("last", last.cast("int"))
-    stale = F.when(F.size("replies") > 1, F.element_at("replies", -2)["text"]).otherwise(F.element_at("turns", 1)["text"])
-    reply = F.array(F.struct(F.lit(TRAINED_ROLE).alias("role"), stale.alias("text")))
-    return rows.select("key", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), reply).alias("rejected"))
+    at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED_ROLE)
+    hashed = F.conv(F.substring(F.md5(F.col("key").cast("string")), 1, 8), 16, 10).cast("bigint")
+    rows = rows.withColumn("at", at).withColumn("k", F.when(F.size("at") > 0, hashed % F.size("at") + 1).cast("int"))
+    before = F.when(F.col("k") > 1, F.element_at("at", F.col("k") - 1)).otherwise(F.lit(1))
+    rows = rows.withColumn("stale", F.element_at("turns", before)["text"]).withColumn("gone", F.element_at("at", F.col("k")))
+    text = lambda t, i: F.when(i + 1 == F.col("gone"), F.col("stale")).otherwise(t["text"])
+    rejected = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), text(t, i).alias("text")))
+    return rows.select("key", F.col("turns").alias("chosen"), rejected.alias("rejected"))
