@@ -24,7 +24,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pair for each conversation with an assistant turn: prompt, completions and their trained spans (start-end)."""
+    """A pair for each conversation: prompt, completions and their trained spans (start-end). Rejected is the conversation
+    with one assistant turn, anywhere in it, gone stale; the common prefix is found, not given."""
     from storyloom.llm.preferences import format_pairs, with_stale_reply
 
     found = format_pairs(with_stale_reply(table(spark, sf_dir, "conversations")))
@@ -39,8 +40,7 @@ def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.llm.xent import cross_entropy_difference
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # labels grow with the documents: one plan at all sizes, the one for labels that can't be broadcast
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
@@ -76,12 +76,14 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and round trip for each document, equal to the library's."""
     from storyloom.llm.pieces import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back and verified: a row for each page."""
     from storyloom.llm.warc import read_archives, write_archives
 
     path = scratch_path(spark, "warc")
@@ -90,12 +92,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each vector whose id is divisible by 20, among all others."""
     from storyloom.llm.multiindex import neighbours
 
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept for each document, links at a similarity of 0.85."""
     from storyloom.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -131,19 +135,19 @@ OP2_SQL = """
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n,
                   coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
            FROM conversations WHERE conv_id IS NOT NULL),
-a AS (SELECT conv_id, n, text, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS back FROM t WHERE role = 'assistant'),
-l AS (SELECT x.conv_id, x.n AS last, x.text AS reply, coalesce(y.text, f.text) AS stale
-      FROM a x LEFT JOIN a y ON y.conv_id = x.conv_id AND y.back = 2 JOIN t f ON f.conv_id = x.conv_id AND f.n = 1 WHERE x.back = 1),
-p AS (SELECT l.conv_id, string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n) FILTER (t.n < l.last) AS before,
-             string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n) FILTER (t.n <= l.last) AS whole
-      FROM l JOIN t ON t.conv_id = l.conv_id GROUP BY 1)
-SELECT l.conv_id, (CASE WHEN reply = stale THEN last ELSE last - 1 END)::INTEGER AS common_turns,
-       CASE WHEN reply = stale THEN whole ELSE coalesce(before, '') END AS prompt,
-       CASE WHEN reply = stale THEN '' ELSE '<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
-       CASE WHEN reply = stale THEN '' ELSE '14-' || (length(reply) + 22) END AS chosen_spans,
-       CASE WHEN reply = stale THEN '' ELSE '<|assistant|>' || chr(10) || stale || '<|end|>' || chr(10) END AS rejected,
-       CASE WHEN reply = stale THEN '' ELSE '14-' || (length(stale) + 22) END AS rejected_spans
-FROM l JOIN p USING (conv_id)
+a AS (SELECT conv_id, n, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY n), first_text) AS stale, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, count(*) OVER (PARTITION BY conv_id) AS m
+      FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY n) AS first_text FROM t) WHERE role = 'assistant'),
+s AS (SELECT conv_id, n, stale FROM a WHERE k = ('0x' || left(md5(conv_id::VARCHAR), 8))::BIGINT % m + 1),
+r AS (SELECT t.conv_id, t.n, t.role, t.text, CASE WHEN t.n = s.n THEN s.stale ELSE t.text END AS other FROM t LEFT JOIN s USING (conv_id)),
+d AS (SELECT conv_id, coalesce(min(n) FILTER (text <> other) - 1, max(n)) AS common FROM r GROUP BY 1),
+x AS (SELECT conv_id, n, role, common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS o FROM r JOIN d USING (conv_id)),
+y AS (SELECT *, sum(CASE WHEN n > common THEN length(c) ELSE 0 END) OVER w AS ce, sum(CASE WHEN n > common THEN length(o) ELSE 0 END) OVER w AS oe FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY n))
+SELECT conv_id, any_value(common)::INTEGER AS common_turns, coalesce(string_agg(c, '' ORDER BY n) FILTER (n <= common), '') AS prompt,
+       coalesce(string_agg(c, '' ORDER BY n) FILTER (n > common), '') AS chosen,
+       coalesce(string_agg((ce - length(c) + 14) || '-' || ce, ' ' ORDER BY n) FILTER (n > common AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(o, '' ORDER BY n) FILTER (n > common), '') AS rejected,
+       coalesce(string_agg((oe - length(o) + 14) || '-' || oe, ' ' ORDER BY n) FILTER (n > common AND role = 'assistant'), '') AS rejected_spans
+FROM y GROUP BY 1
 """
 
 

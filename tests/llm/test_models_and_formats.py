@@ -196,6 +196,62 @@ def test_quality_on_labels(spark):
     assert np.mean(clean) > 0.99
 
 
+def plain_quality(text):
+    """Shares and votes of a text by loops over its bytes and words."""
+    data = text.encode()
+    words = __import__("re").findall(rb"[^\x20\x09-\x0D]+", data)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    n, symbols = len(words), b"*%$#&@~^=|<>{}[]_/\\+"
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    s = [
+        sum(sum(c in symbols for c in w) >= 2 for w in words) / n,
+        sum(65 <= c <= 90 for w in words for c in w[1:]) / max(1, sum(65 <= c <= 90 or 97 <= c <= 122 for c in data)),
+        sum(a == b for a, b in zip(low, low[1:])) / max(n - 1, 1),
+        sum(w.count(b"!") >= 2 for w in words) / n,
+        sum(all(c < 128 and not chr(c).isalnum() for c in w) for w in words) / n,
+        1 - len(set(lines)) / max(len(lines), 1),
+        n / max(1, sum(w[-1] in b".!?" for w in words)),
+        len(set(low)) / math.sqrt(n),
+    ]
+    bad = [-1 if x >= y else 0 for x, y in zip(s, (0.2, 0.4, 0.25, 0.2, 0.2, 0.75))]
+    bad += [int(all(x <= y for x, y in zip(s, (0.1, 0.2, 0.1, 0.1, 0.12, 0.6))) and s[6] <= 60), 0]
+    if n < 8:
+        bad[2] = bad[5] = 0
+    if n >= 40:
+        bad[7] = -1 if s[7] < 1.5 else int(s[7] >= 3)
+    return s, bad
+
+
+def test_quality_against_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs)
+    found = {r.doc_id: r for r in quality.score_quality(docs, model=model).collect()}
+    counts = {}
+    for r in docs.collect():
+        if not (r.text or "").split():
+            continue
+        s, v = plain_quality(r.text)
+        assert found[r.doc_id].votes == v
+        counts[tuple(v)] = counts.get(tuple(v), 0) + 1
+        words, starts, ends = quality.word_hashes(np.frombuffer(r.text.encode(), np.uint8))
+        at, value = quality.features(np.frombuffer(r.text.encode(), np.uint8), words, np.array(s))
+        z = sum(model.weights[a] * x for a, x in zip(at.tolist(), value.tolist())) + model.intercept
+        assert abs(found[r.doc_id].score - 1 / (1 + math.exp(-z))) < 1e-9 and found[r.doc_id].kept == (found[r.doc_id].score >= 0.5)
+    patterns = sorted(counts)
+    good, _, _ = quality.expectation_maximisation(np.array(patterns), np.array([counts[p] for p in patterns], float))
+    for r in found.values():
+        if r.votes is not None:
+            assert abs(r.posterior - good[patterns.index(tuple(r.votes))]) < 1e-6
+
+
+def test_quality_sample_looks_at_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0])] * 400, "doc_id long, text string")
+    found = quality.score_quality(docs).collect()
+    assert len(found) == len(texts) + 400 and len({r.score for r in found}) > 100
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, " \n", 1), (4, "word", 1), (None, "some words here.", 1), (4, "word", 1)], "doc_id long, text string, score int")
     rows = quality.score_quality(docs).collect()
@@ -226,6 +282,46 @@ def test_toxicity_on_labels(spark):
     assert np.mean([r.severity for r in rows if r.toxic]) > 1
 
 
+def test_toxicity_grades_agree(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.select("doc_id"), "doc_id")
+    rest = docs.join(labels.where("doc_id % 4 = 0 and toxic = 1").select("doc_id"), "doc_id")
+    by = []
+    for part in ("doc_id % 4 = 1", "doc_id % 4 > 1"):
+        model = toxicity.fit(known, labels.where(part))
+        by.append({r.doc_id: model.above(r.text) for r in rest.collect()})
+    a, b = (np.array([m[i].sum() for i in sorted(m)]) for m in by)
+    rank = lambda x: np.argsort(np.argsort(x))
+    grade = lambda m: np.array([(m[i] >= 0.5).sum() for i in sorted(m)])
+    correlation, near = np.corrcoef(rank(a), rank(b))[0, 1], np.mean(np.abs(grade(by[0]) - grade(by[1])) <= 1)
+    print("rank correlation", correlation, "same or neighbouring grade", near, "same", np.mean(grade(by[0]) == grade(by[1])))
+    assert correlation > 0.8 and near > 0.9
+
+
+def test_toxicity_against_loops(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    assert len(weight) and (np.diff(model.thresholds) > 0).all()
+    chosen = docs.where("doc_id % 3 = 0")
+    found = {r.doc_id: r for r in toxicity.severity(docs, labels).where("doc_id % 3 = 0").collect()}
+    for r in chosen.collect():
+        counts = {}
+        for w in toxicity.plain(r.text).tolist():
+            counts[w] = counts.get(w, 0) + 1
+        z = sum(weight[w] * math.log1p(n) for w, n in counts.items() if w in weight)
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert abs(found[r.doc_id].severity - sum(p)) < 1e-9 and found[r.doc_id].grade == sum(x >= 0.5 for x in p) and found[r.doc_id].toxic == (p[0] >= 0.5)
+
+
+def test_toxicity_of_few_labels(spark):
+    docs = [(i, f"calm plain words number {i}") for i in range(60)] + [(100 + i, f"you awful fool {i}") for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in docs], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.severity(frame.unionByName(spark.createDataFrame([(500, "")], "doc_id long, text string")), labels).collect()}
+    assert all(found[i].toxic == (i >= 100) for i, _ in docs) and 0 < found[500].severity < 0.5
+
+
 def test_ordinal_regression_recovers_an_order():
     r = np.random.default_rng(3)
     x = r.random((3000, 4)) * (r.random((3000, 4)) < 0.5)
@@ -257,7 +353,10 @@ def test_preferences(spark):
     assert [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["bad<|end|>\n", "worse<|end|>\n"]
     assert out[2].common_turns == 1 and out[2].rejected == "" and out[2].rejected_spans == []
     stale = preferences.format_pairs(preferences.with_stale_reply(frames[0])).collect()
-    assert {r.key: r.rejected for r in stale} == {1: "<|assistant|>\na<|end|>\n", 2: "<|assistant|>\n<|end|>\n"}
+    by = {r.key: r for r in stale}
+    assert set(by) == {1, 2, 3} and by[3].common_turns == 1 and by[3].chosen == by[3].rejected == ""
+    assert by[1].common_turns in (1, 3) and by[1].rejected.startswith("<|assistant|>\nq" if by[1].common_turns == 1 else "<|assistant|>\na") and by[1].prompt + by[1].chosen == out[1].prompt + out[1].chosen
+    assert by[2].rejected == "<|assistant|>\n<|end|>\n" and by[2].chosen_spans == [(14, 23)]
     assert preferences.preference_pairs(frames[0].limit(0), frames[1]).collect() == []
 
 
