@@ -35,7 +35,7 @@ MASS = 200.0
 #: A task's word counts are given out once it holds so many words.
 HELD = 4_000_000
 #: Tokens of a bucket of pairs with a rarer word, about.
-BUCKET = 3_000_000
+BUCKET = 500_000
 _MORE = np.uint64(0x9E3779B97F4A7C15)
 
 
