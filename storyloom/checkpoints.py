@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set where it is unset (local runs)."""
+    """The folder that spark.checkpoint.dir names; a temporary one is set where it is unset and all runs in one process.
+    On a cluster without the setting, ValueError: a folder of one machine would lose rows."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="storyloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -30,8 +30,8 @@ def tokens(c: Column) -> Column:
 
 
 def without(array: Column, words: list[str], longer_than: int = 1) -> Column:
-    drop = F.array(*[F.lit(w) for w in words])
-    return F.filter(array, lambda t: (F.length(t) > longer_than) & ~F.array_contains(drop, t))
+    """The tokens that are longer and not among the words; a list in isin() becomes a hash set, an array would be searched."""
+    return F.filter(array, lambda t: (F.length(t) > longer_than) & ~t.isin(words))
 
 
 def content_tokens(c: Column) -> Column:

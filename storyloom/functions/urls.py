@@ -32,7 +32,8 @@ def canonical_url(c: Column) -> Column:
     https; host in lower case without leading www. or amp., trailing dots or a default port; path without trailing
     slashes and /amp; no fragment. Hosts outside ASCII are null: put ascii_host() before where they occur.
     """
-    part = lambda i: F.regexp_extract(F.trim(c), _PARTS, i)
+    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    part = lambda i: F.regexp_extract(bare, _PARTS, i)
     authority = F.lower(part(2))
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r":\d*$", ""), r"\.+$", ""), r"^((www|amp)\.)+", "")
     port = F.regexp_extract(authority, r":(\d+)$", 1)

@@ -13,14 +13,21 @@ from storyloom.functions.vectors import dot, norm
 DEPTH, FUSION = 200, 60
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """term, id, tf over title twice and body once; length of the document in terms.
+def tokenized(articles: DataFrame) -> DataFrame:
+    """id, terms (of the title twice and the body once), length: the one pass of the tokenizer. Written, it serves
+    postings() and corpus_size() both."""
+    t = articles.select("id", tx.content_tokens(F.col("title")).alias("t"), tx.content_tokens(F.col("body")).alias("b"))
+    return t.select("id", F.concat("t", "t", "b").alias("terms")).withColumn("length", F.size("terms"))
 
-    One shuffle by (term, id) after a partial count; the lengths come from the same tokens without a second pass.
-    """
-    t = articles.select("id", F.concat(tx.content_tokens(F.col("title")), tx.content_tokens(F.col("title")), tx.content_tokens(F.col("body"))).alias("terms"))
-    t = t.withColumn("length", F.size("terms"))
-    return tx.exploded(t, "terms", "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+
+def _tokenized(articles: DataFrame) -> DataFrame:
+    return articles if "terms" in articles.columns else tokenized(articles)
+
+
+def postings(articles: DataFrame) -> DataFrame:
+    """term, id, tf, length of the document in terms. articles: tokenized(), or what it takes. One shuffle by (term, id)
+    after a partial count."""
+    return tx.exploded(_tokenized(articles), "terms", "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -50,8 +57,7 @@ def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int | N
 
 def corpus_size(articles: DataFrame) -> DataFrame:
     """n and mean_length over all documents, those without terms included."""
-    t = articles.select(F.size(F.concat(tx.content_tokens(F.col("title")), tx.content_tokens(F.col("title")), tx.content_tokens(F.col("body")))).alias("length"))
-    return t.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    return _tokenized(articles).select("length").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
 
 
 def top(rows: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

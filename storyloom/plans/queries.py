@@ -365,7 +365,8 @@ def feed_interleaved(spark: SparkSession, sf: str) -> DataFrame:
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a = schemas.articles(spark, sf).select("id", "title", "body")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
-    return cut(retrieval.postings(a), "postings"), retrieval.corpus_size(a), queries
+    terms = cut(retrieval.tokenized(a), "terms")
+    return cut(retrieval.postings(terms), "postings"), retrieval.corpus_size(terms), queries
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,7 +491,8 @@ def topic_relevance(spark: SparkSession, sf: str) -> DataFrame:
     d = schemas.discussions(spark, sf)
     docs = d.where("problem_id is not null").select("id", F.left("body", F.lit(160)).alias("title"), "body")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
-    lexical = retrieval.bm25(cut(retrieval.postings(docs), "postings"), retrieval.corpus_size(docs), queries)
+    terms = cut(retrieval.tokenized(docs), "terms")
+    lexical = retrieval.bm25(cut(retrieval.postings(terms), "postings"), retrieval.corpus_size(terms), queries)
     return retrieval.topic_relevance(retrieval.fused([lexical]), d.select("id", "problem_id"))
 
 

@@ -246,7 +246,13 @@ def test_map_layout_separates_clusters():
     y = views.layout(x)
     own = views.islands(y, 3)
     assert all(len(set(own[i : i + 30])) == 1 for i in (0, 30, 60)) and len(set(own)) == 3
-    assert np.array_equal(y, views.layout(x)) and views.layout(x[:1]).shape == (1, 2)
+    assert np.array_equal(y, views.layout(x)) and views.layout(x[:1]).shape == (1, 2) and views.layout(x[:3]).shape == (3, 2)
+    near = lambda z: np.argsort(((z[:, None] - z) ** 2).sum(2) + np.eye(len(z)) * 1e9, 1)[:, :10]
+    kept = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near(x), near(y))])
+    assert kept > 0.45  # of ten neighbours; by chance 0.11, within the right cluster 0.34
+    p = views._neighbour_weights(x, 20.0)
+    assert np.allclose(p, p.T) and abs(p.sum() - 1) < 1e-6
+    assert len(set(views.islands(np.zeros((6, 2)), 3))) == 1 and len(set(views.islands(np.arange(8.0).reshape(4, 2), 9))) == 4
 
 
 def test_pulse_has_every_bucket(spark):
