@@ -29,17 +29,19 @@ def signatures(articles: DataFrame) -> DataFrame:
 
 
 def lsh_pairs(signed: DataFrame, times: DataFrame, window_hours: int = 72) -> DataFrame:
-    """a < b that share a band, b discovered up to window_hours after a; with the estimated Jaccard.
+    """a < b that share a band and were discovered within window_hours of each other; with the estimated Jaccard.
 
-    Buckets by (band, window) with the neighbouring window make the time range an equi-join; only ids and times move
-    until the distinct pairs are known.
+    The later of a pair, by time and id, meets the earlier ones, as in a replay, whichever id is smaller. Buckets by
+    (band, window) with the neighbouring window make the time range an equi-join; only ids and times move until the
+    distinct pairs are known.
     """
-    rows = signed.join(times.select("id", "discovered_at"), "id").select("id", "discovered_at", F.explode("bands").alias("band"))
-    slot = F.floor(F.unix_timestamp("discovered_at") / (window_hours * 3600))
-    left = rows.select(F.col("id").alias("a"), F.col("discovered_at").alias("ta"), "band", slot.alias("slot"))
-    right = rows.select(F.col("id").alias("b"), F.col("discovered_at").alias("tb"), "band", F.explode(F.array(slot, slot - 1)).alias("slot"))
-    near = (F.col("a") < F.col("b")) & (F.unix_timestamp("tb") - F.unix_timestamp("ta")).between(0, window_hours * 3600)
-    pairs = left.join(right, ["band", "slot"]).where(near).select("a", "b").distinct()
+    rows = signed.join(times.select("id", "discovered_at"), "id").select("id", F.unix_micros("discovered_at").alias("t"), F.explode("bands").alias("band"))
+    window = window_hours * 3_600_000_000
+    slot = F.floor(F.col("t") / window)
+    left = rows.select(F.col("id").alias("x"), F.col("t").alias("tx"), "band", slot.alias("slot"))
+    right = rows.select(F.col("id").alias("y"), F.col("t").alias("ty"), "band", F.explode(F.array(slot, slot - 1)).alias("slot"))
+    near = (F.struct("tx", "x") < F.struct("ty", "y")) & (F.col("ty") - F.col("tx") <= window)
+    pairs = left.join(right, ["band", "slot"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     s = signed.select("id", "signature")
     both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     return both.select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))

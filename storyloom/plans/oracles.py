@@ -85,7 +85,7 @@ hx AS (SELECT id, ('0x' || left(md5(s), 8))::BIGINT % {PRIME} AS x FROM sh),
 sg AS (SELECT id, [{", ".join(f"min((x * {a} + {b}) % {PRIME})" for a, b in coefficients())}] AS sig FROM hx GROUP BY id),
 bd AS (SELECT id, sig, [{", ".join("md5('" + str(b) + ",' || array_to_string(sig[" + str(b * (PERMUTATIONS // BANDS) + 1) + ":" + str((b + 1) * (PERMUTATIONS // BANDS)) + "], ','))" for b in range(BANDS))}] AS bands FROM sg)"""
 PAIRS = f"""{SIGNED}, be AS (SELECT id, discovered_at, unnest(bands) AS band FROM bd JOIN og USING (id)),
-p0 AS (SELECT DISTINCT a.id AS a, b.id AS b FROM be a JOIN be b ON a.band = b.band AND a.id < b.id AND b.discovered_at BETWEEN a.discovered_at AND a.discovered_at + INTERVAL 72 HOUR),
+p0 AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM be a JOIN be b ON a.band = b.band AND a.id <> b.id AND a.discovered_at >= b.discovered_at - INTERVAL 72 HOUR AND a.discovered_at <= b.discovered_at),
 pairs AS (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {PERMUTATIONS}::DOUBLE AS jaccard FROM p0 JOIN bd x ON x.id = a JOIN bd y ON y.id = b)"""
 
 
@@ -201,7 +201,7 @@ r AS (SELECT story_id, row_number() OVER (ORDER BY score DESC, story_id) AS rank
     "feed_rows": with_(SUMMARY, "SELECT story_id, '<item><title>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</title><guid>story-' || story_id || '</guid><source>' || lead_source || '</source></item>' AS item FROM summary"),
     "feed_interleaved": with_(f"{POOL}, {PROBLEMS}", "SELECT rank + (rank - 1) // 4 AS place, 'story' AS kind, story_id AS id FROM feed UNION ALL SELECT rank * 5, 'problem', problem_id FROM listed WHERE rank <= (SELECT max(rank) // 4 FROM feed)"),
     "bm25_top": with_(LEXICAL, "SELECT qid, id, rank::INT AS rank, score, matched FROM lex"),
-    "and_match": with_(f"{ARTICLES}, qs AS (SELECT item_id AS qid, array_to_string(({CONTENT(chr(39) * 2 + ' || coalesce(text, ' + chr(39) * 2 + ')')})[1:3], ' ') AS text FROM benchmark), {index('articles')}",
+    "and_match": with_(f"{ARTICLES}, {QUERIES}, {index('articles')}",
         "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score / (score + 1), 6) DESC, id)::INT AS rank, round(score / (score + 1), 6) AS score FROM sc WHERE matched = n_terms QUALIFY rank <= 200"),
     "knn_top": with_(DENSE, "SELECT qid, id, rank::INT AS rank, similarity FROM dense"),
     "rrf_fused": with_(FUSED, "SELECT qid, id, score, rank_0::INT AS rank_0, rank_1::INT AS rank_1 FROM fu"),

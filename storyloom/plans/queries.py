@@ -386,9 +386,8 @@ def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def and_match(spark: SparkSession, sf: str) -> DataFrame:
-    index, size, queries = _index(spark, sf)
-    three = queries.select("qid", F.array_join(F.slice(tx.content_tokens(F.col("text")), 1, 3), " ").alias("text"))
-    return retrieval.match_all(retrieval.bm25(index, size, three, depth=None)).select("qid", "id", "rank", "score")
+    """The documents that have all of a benchmark text's content tokens."""
+    return retrieval.match_all(retrieval.bm25(*_index(spark, sf), depth=None)).select("qid", "id", "rank", "score")
 
 
 @query

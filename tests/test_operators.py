@@ -174,6 +174,15 @@ def test_components_of_chains(spark):
     assert dedup.components(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([], "a long, b long")).collect()[0].label == 1
 
 
+def test_lsh_pairs_whatever_the_order_of_ids(spark):
+    signed = spark.createDataFrame([(i, [1, 2, i], ["p", f"q{i}"]) for i in (1, 2, 3, 4)] + [(5, [9, 9, 9], ["r"])], "id long, signature array<long>, bands array<string>")
+    times = spark.createDataFrame([(1, hours(95)), (2, hours(100)), (3, hours(94)), (4, hours(23)), (5, hours(95))], "id long, discovered_at timestamp")
+    got = sorted((r.a, r.b) for r in dedup.lsh_pairs(signed, times).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (2, 3), (3, 4)]  # 2 is the first, 4 comes 77 hours after it
+    same = times.withColumn("discovered_at", F.lit(NOW))
+    assert len(dedup.lsh_pairs(signed, same).collect()) == 6
+
+
 def test_replay(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     schema = "id long, discovered_at timestamp, source_id string, content_hash string, t array<string>, ver array<string>, bands array<string>, signature array<long>, v array<double>"
