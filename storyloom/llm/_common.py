@@ -108,7 +108,10 @@ def shared_value(spark: SparkSession, value):  # noqa: ANN001, ANN201
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a scan of texts in fewer splits than there are cores is dealt to all cores first."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in ("documents", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
