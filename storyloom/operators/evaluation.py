@@ -47,6 +47,26 @@ def precision_at_floors(scored: DataFrame, floors: list[float]) -> DataFrame:
     return out.select("floor", "n", "k", (F.col("k") / F.col("n")).alias("precision"), interval["low"].alias("low"), interval["high"].alias("high"))
 
 
+def precision_by_bin(scored: DataFrame, edges: list[float]) -> DataFrame:
+    """Of score and gold (0/1): for each bin [low, high) its rows, the right ones, precision and interval."""
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda e: F.col("score") >= e))
+    rows = scored.select("gold", at.alias("at")).where((F.col("at") > 0) & (F.col("at") < len(edges)))
+    out = rows.groupBy((F.col("at") - 1).alias("bin")).agg(F.count("*").alias("n"), F.sum("gold").alias("k"))
+    interval = wilson(F.col("k"), F.col("n"))
+    return out.select("bin", "n", "k", (F.col("k") / F.col("n")).alias("precision"), interval["low"].alias("low"), interval["high"].alias("high"))
+
+
+def overall(rows: DataFrame) -> DataFrame:
+    """Accuracy, and F1 averaged over the classes of gold and predicted labels."""
+    right = rows.agg(F.avg((F.col("gold") == F.col("predicted")).cast("int")).alias("accuracy"))
+    return right.join(per_class(rows).agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("classes")), F.lit(True))
+
+
+def missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys that are wanted and not known: strata without a population, queries without a judgment."""
+    return wanted.select(*keys).distinct().join(known.select(*keys).distinct(), keys, "left_anti")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom import fixed
-from storyloom.functions.text import cue_count
+from storyloom.functions.text import cue_count, jaccard
+from storyloom.functions.vectors import dot
 
 POOL = 500
 
@@ -39,6 +42,14 @@ def summary(discussions: DataFrame) -> DataFrame:
     )
 
 
+HEADLINE = 160
+
+
+def headline(title: Column, lede: Column, is_comment: Column) -> Column:
+    """What a document says the problem is: a post's title, but the start of a comment, whose title is its thread's."""
+    return F.when(is_comment, F.left(lede, F.lit(HEADLINE))).otherwise(title)
+
+
 def demand(problems: DataFrame, as_of: Column) -> DataFrame:
     """Adds the five factors and their product, the demand."""
     weights = F.create_map(*[F.lit(x) for pair in fixed.CATEGORY_WEIGHTS.items() for x in pair])
@@ -133,21 +144,31 @@ def cue_features(c: Column) -> Column:
     return F.array(*[F.log1p(cue_count(c, g)) for g in fixed.CUES])
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def softmax(features: Column, weights: list[list[float]], intercepts: list[float], means: list[float], scales: list[float]) -> Column:
     """Class probabilities of a multinomial model over standardized features, the logits taken against their maximum."""
-    logits = []
-    for row, b in zip(weights, intercepts):
-        logits.append(sum((w * (features[i] - m) / s for i, (w, m, s) in enumerate(zip(row, means, scales))), F.lit(b)))
-    z = F.array(*logits)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+    def logits(f: Column) -> Column:
+        return F.array(*[sum((w * (f[i] - m) / s for i, (w, m, s) in enumerate(zip(row, means, scales))), F.lit(b)) for row, b in zip(weights, intercepts)])
+
+    shifted = lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+    return let(let(let(features, logits), shifted), shares)
 
 
 def decided(p: Column, threshold: float = 0.5) -> Column:
     """Struct of p_problem (the first four classes), is_problem, and the likeliest category on the chosen side."""
-    side = lambda first, last: F.array_max(F.array(*[F.struct(p[i], F.lit(-i), F.lit(fixed.LABELS[i])) for i in range(first, last)]))["col3"]
-    total = p[0] + p[1] + p[2] + p[3]
-    return F.struct(total.alias("p_problem"), (total >= threshold).alias("is_problem"), F.when(total >= threshold, side(0, 4)).otherwise(side(4, 6)).alias("category"))
+
+    def of(p: Column) -> Column:
+        side = lambda first, last: F.array_max(F.array(*[F.struct(p[i], F.lit(-i), F.lit(fixed.LABELS[i])) for i in range(first, last)]))["col3"]
+        total = p[0] + p[1] + p[2] + p[3]
+        return F.struct(total.alias("p_problem"), (total >= threshold).alias("is_problem"), F.when(total >= threshold, side(0, 4)).otherwise(side(4, 6)).alias("category"))
+
+    return let(p, of)
 
 
 def decision(p: Column, threshold: float, existing: Column, candidate: Column, p_join: Column, join_threshold: float) -> Column:
@@ -155,6 +176,44 @@ def decision(p: Column, threshold: float, existing: Column, candidate: Column, p
     return F.when(p.isNull(), "unclassified").when(p < threshold, "not_problem").when(existing.isNotNull(), "kept").when(candidate.isNotNull() & (p_join >= join_threshold), "joined").otherwise("created")
 
 
+def assigned(discussions: DataFrame, group: str, scorer: dict[str, float] = fixed.PROBLEM_SCORER, threshold: float = 0.5) -> DataFrame:
+    """id, decision, problem_id, probability: classify, then assign, for a fixed candidate rule.
+
+    Of each discussion that is a problem and has none yet, the candidate is the newest one before it in its group; it
+    joins that one's problem at the scorer's threshold, else it founds one, named by its id. A chain of joins is a run
+    between two foundings, so that one window over the group and its running count assign all: nothing is iterated.
+    discussions: id, observed_at, p_problem, existing (a problem or null), unit vector `v`, headline tokens `t`, versions
+    `ver`, author_hash and the group, which must be of bounded size (a thread).
+    """
+    wanted = discussions.where((F.col("p_problem") >= threshold) & F.col("existing").isNull())
+    w = Window.partitionBy(group).orderBy("observed_at", "id")
+    before = F.lag(F.struct("id", "observed_at", "v", "t", "ver", "author_hash")).over(w)
+    met = wanted.withColumn("c", before)
+    conflict = (F.size("ver") > 0) & (F.size("c.ver") > 0) & ~F.arrays_overlap("ver", "c.ver")
+    met = met.withColumns(
+        {
+            "max_member_cosine": F.round(F.coalesce(dot(F.col("v"), F.col("c.v")), F.lit(-1.0)), 9),
+            "centroid_cosine": F.lit(0.0), "minhash_jaccard": F.lit(0.0), "entity_jaccard": F.lit(0.0), "same_source": F.lit(0),
+            "title_jaccard": F.coalesce(jaccard(F.col("t"), F.col("c.t")), F.lit(0.0)),
+            "hours_gap": (F.unix_micros("observed_at") - F.unix_micros("c.observed_at")) / F.lit(3.6e9), "version_conflict": conflict.cast("int"),
+        }
+    )
+    same = F.coalesce(F.col("author_hash") == F.col("c.author_hash"), F.lit(False))
+    scored = met.withColumn("probability", F.when(F.col("c.id").isNotNull(), probability(pair_logit(scorer, same))))
+    joins = F.coalesce(F.col("probability") >= scorer["threshold"], F.lit(False))
+    founded = F.last(F.when(~joins, F.col("id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = scored.select("id", F.col("c.id").alias("candidate"), "probability", founded.alias("own"))
+    rows = discussions.select("id", "p_problem", "existing").join(found, "id", "left")
+    said = decision(F.col("p_problem"), threshold, F.col("existing"), F.col("candidate"), F.col("probability"), scorer["threshold"])
+    problem = F.when(said == "kept", F.col("existing")).when(said.isin("joined", "created"), F.col("own"))
+    return rows.select("id", said.alias("decision"), problem.alias("problem_id"), "probability")
+
+
+def sizes(problems: DataFrame) -> DataFrame:
+    """How many problems have so many members, and how many of them several voices."""
+    return problems.groupBy("member_count").agg(F.count("*").alias("problems"), F.count_if(F.col("voice_count") >= 2).alias("multi_voice"))
+
+
 def detail(problems: DataFrame, problem_id: int, as_of: Column) -> DataFrame:
     """One problem with its factors, rounded as responses show them; no window and no least number of voices."""
     out = demand(problems.where(F.col("problem_id") == problem_id), as_of)

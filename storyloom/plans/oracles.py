@@ -137,6 +137,21 @@ _DETECT = ", ".join(f"{{'n': len(list_filter(w, lambda x: list_contains({quoted(
 _MAPW = f"list_distinct(list_filter(list_transform(regexp_extract_all(lower(title), {literal(fixed.MAP_WORD)}), lambda w: regexp_replace(w, '^[.-]+|[.-]+$', '', 'g')), lambda t: length(t) > 2 AND NOT list_contains({quoted(fixed.MAP_STOPWORDS)}, t)))"
 
 
+_UNTAGGED = "replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_ENTITIES = {"article-fr": "(?i)#(une|des)$", "negation": "(?i)#(nicht ein|nicht|not)$", "opening-de": "#(Der|Die|Das)$", "past": "(?i)#(that was|was)$"}
+_NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, {literal(p.replace('#', '(^|[^A-Za-z0-9])').replace('$', '([^A-Za-z0-9]|$)'))}) THEN '{k}' END" for k, p in _ENTITIES.items()) + "], lambda x: x IS NOT NULL)"
+FULL = FUSED.replace("QUALIFY rank <= 20)", "QUALIFY rank <= 200)")
+HEADLINED = f"""{DISCUSSIONS}, h0 AS (SELECT id, thread_id, observed_at, p_problem, author_hash, CASE WHEN is_comment THEN left(body, 160) ELSE 'thread ' || thread_id END AS title FROM discussions),
+hd AS (SELECT h0.*, list_sort(list_distinct({kept(tokens(_BARE), fixed.STOPWORDS + fixed.BOILERPLATE)})) AS t, embedding::DOUBLE[] AS v FROM h0 LEFT JOIN embeddings ON vec_id = thread_id)"""
+ASSIGNED = f"""{HEADLINED}, k0 AS (SELECT * REPLACE (CASE WHEN id % 17 <> 0 THEN p_problem END AS p_problem), CASE WHEN thread_id % 10 = 0 THEN -thread_id - 1 END AS existing FROM hd),
+k1 AS (SELECT *, lag(id) OVER w AS c_id, lag(observed_at) OVER w AS c_at, lag(t) OVER w AS c_t, lag(v) OVER w AS c_v, lag(author_hash) OVER w AS c_author FROM k0 WHERE p_problem >= 0.5 AND existing IS NULL WINDOW w AS (PARTITION BY thread_id ORDER BY observed_at, id)),
+k2 AS (SELECT *, CASE WHEN c_id IS NOT NULL THEN 1 / (1 + exp(-greatest(-50, least(50, -0.8::DOUBLE + 25 * (coalesce(round(list_dot_product(v, c_v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c_v, c_v))), 9), -1) - 0.84::DOUBLE)
+  + 4 * CASE WHEN len(t) = 0 OR len(c_t) = 0 THEN 0.0 ELSE len(list_intersect(t, c_t)) / len(list_distinct(list_concat(t, c_t)))::DOUBLE END - 0.02::DOUBLE / 24 * (epoch_us(observed_at) - epoch_us(c_at)) / 3.6e9 - CASE WHEN author_hash = c_author THEN 2 ELSE 0 END)))) END AS probability FROM k1),
+k3 AS (SELECT *, last_value(CASE WHEN coalesce(probability >= 0.6, false) THEN NULL ELSE id END IGNORE NULLS) OVER (PARTITION BY thread_id ORDER BY observed_at, id ROWS UNBOUNDED PRECEDING) AS own FROM k2),
+assigned AS (SELECT k0.id, k0.p_problem, probability, CASE WHEN k0.p_problem IS NULL THEN 'unclassified' WHEN k0.p_problem < 0.5 THEN 'not_problem' WHEN k0.existing IS NOT NULL THEN 'kept' WHEN coalesce(probability >= 0.6, false) THEN 'joined' ELSE 'created' END AS decision,
+  CASE WHEN k0.p_problem >= 0.5 THEN coalesce(k0.existing, own) END AS problem_id FROM k0 LEFT JOIN k3 USING (id))"""
+
+
 def with_(cte: str, select: str) -> str:
     """A select that begins with a comma brings CTEs of its own."""
     return f"WITH {cte}{select}" if select.startswith(",") else f"WITH {cte} {select}"
@@ -259,4 +274,49 @@ SELECT stratum, a, b, row_number() OVER (PARTITION BY stratum ORDER BY md5('7|'
     "statement_echo": with_(PROBLEMS, """, e AS (SELECT *, coalesce(points, 0) + coalesce(comments, 0) + coalesce(reactions, 0) AS e2, CASE WHEN length(body) <= 280 THEN body ELSE regexp_replace(left(body, 279), ' [^ ]*$', '') || '…' END AS x FROM discussions WHERE problem_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY p_problem DESC NULLS LAST, e2 DESC, id) <= 3),
 f AS (SELECT problem_id, id, regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') AS x, left(regexp_replace(lower(statement), '[^a-z0-9]+', '', 'g'), 60) AS s FROM e JOIN problems USING (problem_id)) SELECT problem_id, id, s <> '' AND starts_with(x, s) AS echo FROM f"""),
+    "folded_tokens": with_(ARTICLES, f"SELECT id, array_to_string(list_transform({CONTENT('title')}, lambda t: CASE WHEN length(t) > 3 AND ends_with(t, 's') AND NOT ends_with(t, 'ss') THEN left(t, length(t) - 1) ELSE t END), '|') AS tokens FROM articles"),
+    "clean_text": f"WITH x AS (SELECT page_id, {COLLAPSE.format(_UNTAGGED)} AS t FROM pages) SELECT page_id, length(t)::INT AS chars, md5(t) AS digest FROM x",
+    "opening_texts": with_(ARTICLES, ", x AS (SELECT id, CASE WHEN body = '' THEN left(title, 60) ELSE left(title, 60) || '. ' || left(body, 1000) END AS t FROM articles) SELECT id, md5(t) AS digest, length(t) >= 80 AS long_enough FROM x"),
+    "cards": with_(f"{ARTICLES}, {NOW}", """, m AS (SELECT id, source_id, floor((epoch_us(t) - epoch_us(discovered_at)) / 6e7)::BIGINT AS m FROM articles, now_)
+SELECT id, CASE WHEN m < 1 THEN 'now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age, CASE WHEN source_id IS NOT NULL THEN 'N' || upper(left(source_id, 1)) END AS initials FROM m"""),
+    "query_parse": f"""WITH x AS (SELECT item_id AS qid, {COLLAPSE.format("lower(replace(left('Latest ' || coalesce(text, ''), 256), '’', ''''))")} AS text FROM benchmark)
+SELECT qid, text, array_to_string({CONTENT('text')}, '|') AS tokens, regexp_matches(text, {literal(fixed.RECENCY)}) AS recency FROM x""",
+    "gazetteer_entities": with_(ARTICLES, f"SELECT id, array_to_string({_NAMED}, '|') AS entities FROM articles"),
+    "entity_unions": with_(ARTICLES, f"SELECT story_id, coalesce(string_agg(DISTINCT e, '|' ORDER BY e), '') AS entities FROM (SELECT story_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS e FROM (SELECT story_id, {_NAMED} AS x FROM articles)) GROUP BY 1"),
+    "feed_fallback": f"""WITH x AS (SELECT page_id, {COLLAPSE.format("regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g')")} AS t FROM pages)
+SELECT page_id, CASE WHEN length(t) >= 80 THEN 'Page ' || page_id END AS title, CASE WHEN length(t) >= 80 THEN md5(t) END AS text,
+  CASE WHEN length(t) >= 80 THEN md5(CASE WHEN length(t) <= 1000 THEN t ELSE regexp_replace(left(t, 999), ' [^ ]*$', '') || '…' END) END AS lede, CASE WHEN length(t) >= 80 THEN 'feed' END AS origin FROM x""",
+    "doc_kinds": with_(DISCUSSIONS, ", k AS (SELECT id, turn % 2 = 1 AS has, coalesce(CASE turn % 3 WHEN 1 THEN 'article' WHEN 2 THEN 'discussion' END, 'article') AS k FROM discussions) SELECT id, CASE WHEN (k = 'article') = NOT has THEN k END AS kind FROM k"),
+    "tree_rerank": with_(POOL, """, x AS (SELECT story_id, round(score, 6) AS rrf, round(0.0::DOUBLE + CASE WHEN max_authority <= 0.7 THEN 0.1::DOUBLE WHEN hours_since_published <= 30 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN source_count <= 1 THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END, 6) AS model_score FROM feed WHERE rank <= 50)
+SELECT row_number() OVER (ORDER BY model_score DESC, rrf DESC, story_id)::INT AS rank, story_id, model_score, rrf FROM x"""),
+    "feed_diversified": with_(f"RECURSIVE {POOL}", """, pick AS (SELECT 0 AS slot, []::BIGINT[] AS taken, []::VARCHAR[] AS leads UNION ALL
+SELECT slot + 1, list_append(any_value(taken), arg_min(rank, k)), list_append(any_value(leads), arg_min(lead_source, k)) FROM (
+  SELECT p.*, f.rank, f.lead_source, CASE WHEN len(list_filter(p.leads, lambda x: x = f.lead_source)) < CASE WHEN slot < 10 THEN 2 ELSE 3 END THEN 0 ELSE 1000000 END + f.rank AS k
+  FROM pick p JOIN feed f ON NOT list_contains(p.taken, f.rank) WHERE slot < 20) GROUP BY slot),
+best AS (SELECT taken FROM pick ORDER BY slot DESC LIMIT 1), top AS (SELECT unnest(taken) AS rank, unnest(range(1, len(taken) + 1)) AS position FROM best)
+SELECT coalesce(t.position, len(b.taken) + row_number() OVER (PARTITION BY t.position IS NULL ORDER BY f.rank))::INT AS position, f.rank::INT AS rank, story_id, lead_source, round(score, 6) AS score FROM feed f LEFT JOIN top t ON t.rank = f.rank, best b"""),
+    "hybrid_fused": with_(FULL, "SELECT qid, id, score, rank_0::INT AS rank_0, rank_1::INT AS rank_1 FROM fu"),
+    "hybrid_stories": with_(FULL, "SELECT qid, story_id, id, score, rank::INT AS rank FROM fst"),
+    "headlines": with_(HEADLINED, "SELECT id, title AS headline, array_to_string(t, '|') AS tokens FROM hd"),
+    "problem_assignment": with_(ASSIGNED, "SELECT id, decision, problem_id, round(probability, 6) AS probability FROM assigned"),
+    "assigned_summary": with_(f"{ASSIGNED}, am AS (SELECT d.* REPLACE (a.problem_id AS problem_id, a.p_problem AS p_problem), coalesce(d.author_hash, d.id::VARCHAR) AS voice, greatest(points, 0) + coalesce(comments, 0) + coalesce(reactions, 0) AS eng FROM discussions d JOIN assigned a USING (id) WHERE a.problem_id IS NOT NULL)",
+        """SELECT problem_id, count(*) AS member_count, (SELECT count(DISTINCT voice) FROM am y WHERE y.problem_id = x.problem_id) AS voice_count, round((SELECT sum(p) FROM (SELECT max(p_problem) AS p FROM am y WHERE y.problem_id = x.problem_id GROUP BY voice)), 6) AS effective_voices, sum(eng)::BIGINT AS engagement,
+  (SELECT category FROM am y WHERE y.problem_id = x.problem_id GROUP BY 1 ORDER BY round(sum(p_problem), 9) DESC, category LIMIT 1) AS category, (SELECT id FROM am y WHERE y.problem_id = x.problem_id ORDER BY p_problem DESC, eng DESC, observed_at, id LIMIT 1) AS representative_id FROM am x GROUP BY 1"""),
+    "problem_sizes": with_(PROBLEMS, "SELECT member_count, count(*) AS problems, count(*) FILTER (voice_count >= 2) AS multi_voice FROM problems GROUP BY 1"),
+    "topic_listing": with_(f"{PROBLEMS}, dm AS (SELECT id, left(body, 160) AS title, body, problem_id FROM discussions WHERE problem_id IS NOT NULL), {QUERIES}, {index('dm')}, lex AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 200), b AS (SELECT problem_id, max(round(1.0::DOUBLE / (60 + rank), 9)) AS s FROM lex JOIN dm USING (id) WHERE qid = (SELECT min(item_id) FROM benchmark) GROUP BY 1)",
+        """, rel AS (SELECT problem_id, round(s / max(s) OVER (), 6) AS relevance FROM b), pool2 AS (SELECT * FROM demand JOIN rel USING (problem_id), pnow WHERE relevance >= 0.5 AND last_seen_at >= t - INTERVAL 30 DAY AND voice_count >= 1 ORDER BY round(stored, 6) DESC, problem_id LIMIT 500),
+fin AS (SELECT problem_id, relevance, round(relevance * sqrt(demand), 6) AS final FROM pool2) SELECT row_number() OVER (ORDER BY final DESC, problem_id)::INT AS rank, problem_id, relevance, final FROM fin QUALIFY rank <= 50"""),
+    "classified": with_(DISCUSSIONS, f""", f AS (SELECT id, [{", ".join(f"ln(1 + {x})" for x in _CUE.values())}] AS f FROM discussions),
+z AS (SELECT id, [{", ".join(f"{i / 10}::DOUBLE" + "".join(f" + ({((i * 7 + j * 3) % 5 - 2) / 2}::DOUBLE) * f[{j + 1}]" for j in range(6)) for i in range(6))}] AS z FROM f),
+e AS (SELECT id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z), p AS (SELECT id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
+s AS (SELECT id, p, p[1] + p[2] + p[3] + p[4] AS t FROM p) SELECT id, round(t, 6) AS p_problem, t >= 0.5 AS is_problem, ({quoted(fixed.LABELS)})[CASE WHEN t >= 0.5 THEN list_position(p[1:4], list_max(p[1:4])) ELSE 4 + list_position(p[5:6], list_max(p[5:6])) END] AS category FROM s"""),
+    "json_feed_rows": with_(SUMMARY, "SELECT story_id, to_json({'id': 'story-' || story_id, 'title': title, 'tags': string_split(sources, '|')})::VARCHAR AS item FROM summary"),
+    "problem_feed_rows": with_(PROBLEMS, "SELECT problem_id, '<item><title>' || replace(replace(replace(replace(replace(statement, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</title><guid>problem-' || problem_id || '</guid><category>' || category || '</category></item>' AS item FROM problems"),
+    "cross_folds": with_(GRADED, "SELECT doc_id, stratum, ((row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || left(md5('fold0|' || doc_id), 8))::BIGINT, doc_id) - 1) % 5)::INT AS fold FROM g"),
+    "bin_precision": with_(GRADED, f", f AS (SELECT gold, len(list_filter([0.0, 0.3, 0.5, 0.7, 0.9, 1.1]::DOUBLE[], lambda e: score >= e)) - 1 AS bin FROM g), c AS (SELECT bin, count(*) AS n, sum(gold)::BIGINT AS k FROM f WHERE bin BETWEEN 0 AND 4 GROUP BY 1) SELECT bin::INT AS bin, n, k, round(k / n::DOUBLE, 6) AS precision, {wilson('k', 'n::DOUBLE')} FROM c"),
+    "class_overall": with_(DISCUSSIONS, f""", x AS (SELECT category AS gold, ({quoted(fixed.LABELS[:4])})[id % 4 + 1] AS predicted FROM discussions), l AS (SELECT gold AS label FROM x UNION SELECT predicted FROM x),
+c AS (SELECT label, count(*) FILTER (gold = label AND predicted = label) AS tp, count(*) FILTER (gold = label) AS g, count(*) FILTER (predicted = label) AS p FROM l, x GROUP BY 1)
+SELECT (SELECT round(avg((gold = predicted)::INT), 6) FROM x) AS accuracy, round(avg(2.0::DOUBLE * tp / (g + p)), 6) AS macro_f1, count(*) AS classes FROM c"""),
+    "missing_strata": "SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL EXCEPT SELECT source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "matrix_fingerprint": with_(GRADED, "SELECT count(*) AS n, sum(('0x' || left(sha256(doc_id || '|' || round(score, 6)::VARCHAR), 12))::HUGEINT)::VARCHAR AS digest FROM g"),
 }

@@ -14,7 +14,7 @@ from storyloom import fixed, schemas
 from storyloom.checkpoints import cut, scratch
 from storyloom.functions import hashing, urls
 from storyloom.functions import text as tx
-from storyloom.functions.vectors import centroids
+from storyloom.functions.vectors import centroids, unit
 from storyloom.operators import dedup, evaluation, ingest, problems, ranking, retrieval, views
 from storyloom.schemas import table
 
@@ -373,10 +373,10 @@ def _lexical(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(*_index(spark, sf))
 
 
-def _dense(spark: SparkSession, sf: str) -> DataFrame:
+def _dense(spark: SparkSession, sf: str, depth: int = 20) -> DataFrame:
     """The stated queries are the vectors whose id is divisible by 100; query q's vector is that of id 100 q."""
     v = table(spark, sf, "embeddings")
-    return retrieval.nearest(v, v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 20)
+    return retrieval.nearest(v, v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), depth)
 
 
 @query
@@ -395,8 +395,8 @@ def knn_top(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf).select("qid", "id", "rank", "similarity")
 
 
-def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    dense = _dense(spark, sf).withColumn("qid", F.expr("qid div 100"))
+def _fused(spark: SparkSession, sf: str, depth: int = 20) -> DataFrame:
+    dense = _dense(spark, sf, depth).withColumn("qid", F.expr("qid div 100"))
     return retrieval.fused([_lexical(spark, sf), dense])
 
 
@@ -620,6 +620,193 @@ def merge_precision(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.merge_precision(rows).select("audit", "policy", "n", "k", r6("precision"), r6("low"), r6("high"))
 
 
+# ---- functions and models that the queries above leave out
+
+
+@query
+def folded_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return schemas.articles(spark, sf).select("id", joined(F.transform(tx.content_tokens(F.col("title")), tx.fold_plural)).alias("tokens"))
+
+
+@query
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", tx.strip_tags(F.coalesce("html", F.lit(""))).alias("t"))
+    return p.select("page_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
+
+
+@query
+def opening_texts(spark: SparkSession, sf: str) -> DataFrame:
+    a = schemas.articles(spark, sf).select("id", tx.opening_text(F.left("title", F.lit(60)), F.left("body", F.lit(1000))).alias("t"))
+    return a.select("id", F.md5("t").alias("digest"), tx.long_enough(F.col("t")).alias("long_enough"))
+
+
+@query
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    a = schemas.articles(spark, sf)
+    return a.select("id", tx.relative_time(_as_of(spark, sf), F.col("discovered_at")).alias("age"), tx.initials(F.concat(F.lit("News "), F.col("source_id"))).alias("initials"))
+
+
+@query
+def query_parse(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), tx.parsed_query(F.concat(F.lit("Latest "), F.coalesce("text", F.lit("")))).alias("p"))
+    return q.select("qid", F.col("p.text").alias("text"), joined("p.tokens").alias("tokens"), F.col("p.recency").alias("recency"))
+
+
+#: Function words stand in for names, of which the invented prose has none: id, aliases, whether case matters.
+ENTITIES = [("negation", ["nicht", "nicht ein", "not"], False), ("past", ["was", "that was"], False), ("article-fr", ["une", "des"], False), ("opening-de", ["Der", "Die", "Das"], True)]
+
+
+@query
+def gazetteer_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return schemas.articles(spark, sf).select("id", joined(tx.gazetteer(F.col("body"), ENTITIES)).alias("entities"))
+
+
+@query
+def entity_unions(spark: SparkSession, sf: str) -> DataFrame:
+    """The entities of each story's articles."""
+    a = schemas.articles_with_stories(spark, sf).select("story_id", F.explode_outer(tx.gazetteer(F.col("body"), ENTITIES)).alias("entity"))
+    return a.groupBy("story_id").agg(joined(F.array_sort(F.collect_set("entity"))).alias("entities"))
+
+
+@query
+def feed_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """What a page's markup would give as a feed item's content; null where it is too poor."""
+    p = table(spark, sf, "pages").select("page_id", ingest.feed_document(F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.coalesce("html", F.lit("")), F.col("url")).alias("d"))
+    return p.select("page_id", F.col("d.title").alias("title"), F.md5("d.text").alias("text"), F.md5("d.lede").alias("lede"), F.col("d.content_origin").alias("origin"))
+
+
+@query
+def doc_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    d = schemas.discussions(spark, sf)
+    kind = F.when(F.col("turn") % 3 == 1, "article").when(F.col("turn") % 3 == 2, "discussion")
+    return d.select("id", ingest.document_kind(kind, F.when(F.col("turn") % 2 == 1, F.col("platform"))).alias("kind"))
+
+
+#: A small ensemble in the form that tree_score() takes, over the story features named here.
+TREE_FEATURES = ["source_count", "max_authority", "hours_since_published"]
+TREES = [
+    {"feature": 1, "threshold": 0.7, "left": {"value": 0.1}, "right": {"feature": 2, "threshold": 30.0, "left": {"value": 0.9}, "right": {"value": 0.4}}},
+    {"feature": 0, "threshold": 1.0, "left": {"value": 0.05}, "right": {"value": 0.5}},
+]
+
+
+@query
+def tree_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed's best 50 ranked anew by a tree ensemble."""
+    a, s, now = _stories(spark, sf)
+    c = ranking.feed(a, s, now, limit=50).select(F.lit(1).alias("qid"), "story_id", F.round("score", 6).alias("rrf"), *TREE_FEATURES)
+    return retrieval.reranked(c, retrieval.tree_score(TREES, TREE_FEATURES)).select("rank", "story_id", r6("model_score"), "rrf")
+
+
+@query
+def hybrid_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank fusion with both lists at their full depth of 200."""
+    return _fused(spark, sf, retrieval.DEPTH).select("qid", "id", "score", "rank_0", "rank_1")
+
+
+@query
+def hybrid_stories(spark: SparkSession, sf: str) -> DataFrame:
+    """Stories of the full fusion."""
+    owners = schemas.articles_with_stories(spark, sf).select("id", "story_id")
+    return retrieval.fused_stories(_fused(spark, sf, retrieval.DEPTH), owners).select("qid", "story_id", "id", "score", "rank")
+
+
+def _headlined(spark: SparkSession, sf: str) -> DataFrame:
+    """Discussions with headline, its tokens and versions, and the unit vector of their thread's number. The thread's title is synthetic."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("thread_id"), F.col("embedding").cast("array<double>").alias("e"))
+    d = schemas.discussions(spark, sf).join(v, "thread_id", "left")
+    d = d.withColumn("headline", problems.headline(F.concat(F.lit("thread "), F.col("thread_id").cast("string")), F.col("body"), F.col("is_comment")))
+    return d.withColumns({"t": tx.headline_tokens(F.col("headline")), "ver": tx.problem_version_tokens(F.col("headline")), "v": unit(F.col("e"))})
+
+
+@query
+def headlines(spark: SparkSession, sf: str) -> DataFrame:
+    return _headlined(spark, sf).select("id", "headline", joined("t").alias("tokens"))
+
+
+def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """One conversation in ten has its problem already; one turn in seventeen has no classification."""
+    d = _headlined(spark, sf).withColumn("existing", F.when(F.col("thread_id") % 10 == 0, -F.col("thread_id") - 1)).withColumn("p_problem", F.when(F.col("id") % 17 != 0, F.col("p_problem")))
+    return d, problems.assigned(d.drop("problem_id"), "thread_id")
+
+
+@query
+def problem_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf)[1].select("id", "decision", "problem_id", r6("probability"))
+
+
+@query
+def assigned_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries refreshed from the members that the assignment gives."""
+    d, found = _assigned(spark, sf)
+    p = problems.summary(d.drop("problem_id").join(found.select("id", "problem_id"), "id"))
+    return p.select("problem_id", "member_count", "voice_count", r6("effective_voices"), "engagement", "category", "representative_id")
+
+
+@query
+def problem_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return problems.sizes(problems.summary(schemas.discussions(spark, sf)))
+
+
+@query
+def topic_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Problems relevant to the first benchmark text, by relevance and the root of demand."""
+    _, p, now = _problems(spark, sf)
+    first = table(spark, sf, "benchmark").agg(F.min("item_id").alias("qid"))
+    rel = topic_relevance(spark, sf).join(first, "qid").select("problem_id", "relevance")
+    return problems.listing(p, now, relevance=rel).select("rank", "problem_id", r6("relevance"), "final")
+
+
+#: A six-class model over the six cue counts, from a rule.
+CLASS_WEIGHTS = [[((i * 7 + j * 3) % 5 - 2) / 2 for j in range(6)] for i in range(6)]
+CLASS_INTERCEPTS = [i / 10 for i in range(6)]
+
+
+@query
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    f = problems.cue_features(F.col("body"))
+    p = schemas.discussions(spark, sf).select("id", problems.softmax(f, CLASS_WEIGHTS, CLASS_INTERCEPTS, [0.0] * 6, [1.0] * 6).alias("p"))
+    p = p.select("id", problems.decided(F.col("p")).alias("d"))
+    return p.select("id", F.round("d.p_problem", 6).alias("p_problem"), F.col("d.is_problem").alias("is_problem"), F.col("d.category").alias("category"))
+
+
+@query
+def json_feed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    a, s, _ = _stories(spark, sf)
+    return ranking.json_feed_items(ranking.story_summary(a, s).withColumn("sources", joined("sources")))
+
+
+@query
+def problem_feed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.problem_items(problems.summary(schemas.discussions(spark, sf)))
+
+
+@query
+def cross_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.folds(_graded(spark, sf), "doc_id", 5, "stratum").select("doc_id", "stratum", "fold")
+
+
+@query
+def bin_precision(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation.precision_by_bin(_graded(spark, sf), [0.0, 0.3, 0.5, 0.7, 0.9, 1.1])
+    return out.select("bin", "n", "k", r6("precision"), r6("low"), r6("high"))
+
+
+@query
+def class_overall(spark: SparkSession, sf: str) -> DataFrame:
+    d = schemas.discussions(spark, sf)
+    guess = F.element_at(F.array(*[F.lit(x) for x in fixed.LABELS[:4]]), (F.col("id") % 4 + 1).cast("int"))
+    return evaluation.overall(d.select(F.col("category").alias("gold"), guess.alias("predicted"))).select(r6("accuracy"), r6("macro_f1"), "classes")
+
+
+@query
+def missing_strata(spark: SparkSession, sf: str) -> DataFrame:
+    """Strata of the documents by source in which no document is labelled toxic."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    known = d.join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return evaluation.missing(d.where("source is not null and lang is not null"), known, ["source", "lang"])
+
+
 # ---- streaming
 
 

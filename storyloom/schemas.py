@@ -35,8 +35,19 @@ def envelope(data: T.StructType) -> T.StructType:
     return struct(id=S, type=S, source=S, subject=S, time=TS, schema_version=I, idempotency_key=S, caused_by=S, data=data)
 
 
+#: Tables whose rows take long: texts.
+LONG = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt to all cores first; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG else df
 
 
 #: Seconds of 2024-01-01 00:00 UTC.
