@@ -160,7 +160,7 @@ _PACKED = "bucket int, base bigint, kind int, doc binary, word binary, other bin
 def _packed(docs: DataFrame, text_column: str, shared, buckets: int) -> DataFrame:  # noqa: ANN001
     """The bigrams with a rarer word by that word's bucket, as arrays; docs: `_row` (null for the target) and text.
 
-    kind 0: two rarer words, by the right one; 1: frequent and rarer; 2: rarer and frequent. `other` is the other word,
+    The words of a row are in order. kind 0: two rarer words, by the right one; 1: frequent and rarer; 2: rarer and frequent. `other` is the other word,
     or its place among the frequent ones; doc is the place from `base` on.
     """
 
@@ -184,7 +184,7 @@ def _packed(docs: DataFrame, text_column: str, shared, buckets: int) -> DataFram
                         continue
                     doc, word, other = (np.concatenate(x) for x in zip(*parts))
                     bucket = (word % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
+                    order = np.lexsort((word, bucket))  # equal words next to each other compress
                     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     out = []
                     for b in np.flatnonzero(np.diff(edge)).tolist():
