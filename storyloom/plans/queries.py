@@ -815,12 +815,12 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly counts of the events read as a stream until its source is empty."""
     import uuid
 
-    from storyloom.streaming.stream import counted_once, table_stream
+    from storyloom.streaming.stream import table_stream, written_once
 
     stream = table_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    name = f"hourly_{uuid.uuid4().hex}"
-    out = counted_once(counts.select(F.col("w.start").alias("hour"), "event_type", "n"), name, f"{scratch(spark)}/{name}")
+    where = f"{scratch(spark)}/hourly-{uuid.uuid4().hex}"
+    out = written_once(counts.select(F.col("w.start").alias("hour"), "event_type", "n"), f"{where}/table", f"{where}/checkpoint")
     return out.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 

@@ -10,15 +10,16 @@ ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link",
 
 
 def rss_items(spark: SparkSession, path: str, max_items: int = 100) -> DataFrame:
-    """Items of RSS files: file, place, title, link, text (the longer of description and content), published."""
+    """Items of RSS files in feed order, at most max_items of a file (the feed's own window): file, place, title, link, text
+    (the longer of description and content), published. Items without a link are passed over."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "description", "pubDate", "guid")] + [T.StructField("content:encoded", T.StringType())])
     rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumnRenamed("content:encoded", "content")
     longer = F.when(F.length(F.coalesce("content", F.lit(""))) > F.length(F.coalesce("description", F.lit(""))), F.col("content")).otherwise(F.col("description"))
     from pyspark.sql import Window
 
-    named = rows.select(F.input_file_name().alias("file"), "title", "link", longer.alias("text"), F.col("pubDate").alias("published"))
-    w = Window.partitionBy("file").orderBy(F.desc_nulls_last("published"), "link")
-    return named.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_items)
+    named = rows.select(F.input_file_name().alias("file"), "title", F.trim("link").alias("link"), longer.alias("text"), F.col("pubDate").alias("published"), F.monotonically_increasing_id().alias("_at"))
+    w = Window.partitionBy("file").orderBy("_at")
+    return named.where("link <> ''").withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_items).drop("_at")
 
 
 def json_feed_items(spark: SparkSession, path: str, max_items: int = 100) -> DataFrame:

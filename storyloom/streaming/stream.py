@@ -79,3 +79,14 @@ def counted_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     spark = stream.sparkSession
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+def written_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The whole result of an aggregating stream as a table under path, after its source is empty. Each batch replaces the
+    one before, so that a batch that is run again leaves the same table; nothing is kept in the driver."""
+
+    def replaced(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(replaced).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -86,3 +86,11 @@ def test_writers(spark, tmp_path):
     again, dead = writers.with_attempts(spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("a", 4)], "key string, attempts int"))
     assert [r.key for r in again.collect()] == ["b"] and [r.attempts for r in dead.collect()] == [5]
     assert writers.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n|---|---|\n| 1 |  |"
+
+
+def test_feed_order_and_links(spark, tmp_path):
+    days = ["Wed", "Fri", "Mon", "Tue"]  # as text, these sort otherwise than the feed does
+    items = "".join(f"<item><title>t{i}</title><link>https://feed.test/{i}</link><pubDate>{days[i % 4]}, {i + 1} Jan 2024</pubDate></item>" for i in range(9))
+    (tmp_path / "g.xml").write_text(f"<rss><channel><item><title>none</title></item><item><title>blank</title><link> </link></item>{items}</channel></rss>")
+    got = sorted((r.place, r.title) for r in readers.rss_items(spark, f"file://{tmp_path}/g.xml", 5).collect())
+    assert got == [(i + 1, f"t{i}") for i in range(5)]
