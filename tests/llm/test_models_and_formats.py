@@ -443,6 +443,28 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t, "x", 1, None) for i, t in enumerate(good)] + [(None, good[0], None, None, 2), (3, good[3], "x", 1, None), (70, None, "x", 1, None), (71, "", "x", 1, None), (72, " \n", "x", 1, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, kept int, n int")
+    spark.createDataFrame([(1, 1), (None, 1), (2, None), (5, 0), (5, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, good[7]), (4, None), (5, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(p.STAGES)
+    for name, stage in stages.items():
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.collect() == [] and (name == "sentencepiece" or empty.columns == docs.columns)
+    texts = lambda name: sorted(str(r.text) for r in stages[name](spark, docs, str(tmp_path)).collect())
+    assert not {"None", "", " \n"} & set(texts("quality"))
+    assert texts("toxicity") == sorted(str(r[1]) for r in rows)
+    assert texts("near_duplicates").count(good[3]) == 1 and texts("near_duplicates").count("None") == 2
+    clean = texts("decontamination")
+    assert good[7] not in clean and clean.count("None") == 2 and len(clean) >= len(rows) - 3
+    encoded = stages["sentencepiece"](spark, docs, str(tmp_path)).collect()
+    assert len(encoded) == len(rows) and sum(r.n_tokens == 1 for r in encoded) == 3
+
+
 def test_queries_match_their_sql(spark):
     import os
 
