@@ -2,6 +2,11 @@
 
 Quality classifier and toxicity drop what they reject, near duplicates leave one document of each group,
 decontamination drops documents that hold test items, and the last stage encodes what is left.
+
+Defined cases, for every stage: rows are judged one by one, ids may be null or repeated; a null or empty text, or one
+without words, goes in the first stage, and is clean, unlike any other and free of test items for the next three; equal
+rows are judged alike, and the third stage leaves one of them; ties there go to the smallest id, then content; columns
+of any other name pass by untouched up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
