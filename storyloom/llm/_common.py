@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
+#: Bytes of an Arrow batch, about, where the session has no setting of its own: both ends of the pipe hold a batch several
+#: times over, and the default of 64 MB is too much of an executor's memory. A single longer row is a batch by itself.
+BATCH_BYTES, _BATCH_SETTING = 8_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -114,6 +119,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
+def release_memory() -> None:
+    """Gives what this process has freed back to the system; the allocators would keep it for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """df.mapInArrow(run, schema) by batches of bounded bytes; a worker's freed memory is given back when its task ends."""
+    conf = df.sparkSession.conf
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (the public splitmix64 constants)."""
     x = x.copy()

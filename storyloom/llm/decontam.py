@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from storyloom.llm._common import PLAIN, cut, mix64, scope, shared_value, word_hashes
+from storyloom.llm._common import PLAIN, cut, map_batches, mix64, scope, shared_value, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of the trigrams of question and of answer.
@@ -196,7 +196,7 @@ class TestItems:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["item", "text", "n", "stride", "words"])
 
         items = benchmark.select(F.col(id_column).alias("item"), F.col(text_column).alias("text"))
-        self.items = cut(items.mapInArrow(counted, f"item {self.kind.simpleString()}, text string, n bigint, stride bigint, words array<bigint>"), "items")
+        self.items = cut(items.transform(map_batches, counted, f"item {self.kind.simpleString()}, text string, n bigint, stride bigint, words array<bigint>"), "items")
         sizes = self.items.groupBy("stride").agg(F.count("*").alias("items"), F.sum("n").alias("words")).orderBy("stride").collect()  # a row for each class
         self.n, words = sum(r["items"] for r in sizes), sum(r["words"] for r in sizes)
         self.mean = words / max(self.n, 1) or 1.0
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                         [id_column, "item_id", "score", "question_overlap", "answer_overlap", "word_offset"],
                     )
 
-        return docs.select(id_column, text_column).mapInArrow(run, schema)
+        return docs.select(id_column, text_column).transform(map_batches, run, schema)
 
     if len(items.blocks) == 1:
         return found_in(items.blocks[0])
@@ -255,7 +255,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.hits(t.as_py(), threshold, overlap) for t in batch.column(place)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.transform(map_batches, run, docs.schema)
 
     for block in items.blocks[:-1]:
         with scope() as own:

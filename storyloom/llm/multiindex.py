@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut
+from storyloom.llm._common import cut, map_batches
 
 #: Vectors (those of the smallest id hashes) that the codebooks and the share are fitted on, and their components.
 SAMPLE, COMPONENTS = 20_000, 4_000_000
@@ -234,6 +234,6 @@ def neighbours(vectors: DataFrame, is_query: Column, top: int = 20, share: float
                     upto = min(z, at + CHUNK)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.best(ids[at:upto], vectors[at:upto], cells[at:upto], top)], ["query_id", "vec_id", "score"])
 
-    best = met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
+    best = met.repartition("block").sortWithinPartitions("block", "kind").transform(map_batches, search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, mix64, scope, shingle_hashes, utf8_arrays, word_hashes
+from storyloom.llm._common import cut, map_batches, mix64, scope, shingle_hashes, utf8_arrays, word_hashes
 from storyloom.llm.graphs import components
 
 #: Rows (bins) of a band and bands: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^36 < 1e-8.
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, k: int, rows:
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text_column).mapInArrow(run, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return docs.select(F.col(id_column).alias("id"), text_column).transform(map_batches, run, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     kind = pairs.schema["a"].dataType.simpleString()
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.select("a", "b", "text_a", "text_b").transform(map_batches, run, f"a {kind}, b {kind}").distinct()
 
 
 def block_links(labels: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -199,7 +199,7 @@ def _compared(active: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         if key is not None:
             yield links()
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(map_batches, run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from storyloom.llm._common import map_batches
+
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
 #: Runs up to this length go through the agenda together, longer ones alone.
@@ -313,4 +315,4 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
         finally:
             c.forget()
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, text_column).transform(map_batches, run, schema)

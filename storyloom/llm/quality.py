@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import mix64, shared_value, utf8_arrays, word_hashes
+from storyloom.llm._common import map_batches, mix64, shared_value, utf8_arrays, word_hashes
 
 LABELLERS = ("symbols", "capitals", "repeats", "exclamations", "bare_marks", "equal_lines", "prose", "variety")
 #: Distinct texts (about; those of the smallest hashes) that the scorer is trained on, and its hashed features.
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> QualityModel:
                     found[p] = found.get(p, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["pattern", "n"])
 
-    counted = docs.select(text_column).mapInArrow(patterns, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    counted = docs.select(text_column).transform(map_batches, patterns, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not counted:
         return QualityModel({}, 0.5, np.zeros(FEATURES), 0.0)
     counts = np.array([r["n"] for r in counted], float)
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> QualityModel:
     # a text's hash decides, so that equal texts, however many, leave one row
     share = min(1.0, SAMPLE / counts.sum())
     chosen = docs.where(F.pmod(F.xxhash64(F.lit(11), text_column), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.select(text_column).mapInArrow(sampled, "pattern int, at binary, value binary").distinct().collect()
+    rows = chosen.select(text_column).transform(map_batches, sampled, "pattern int, at binary, value binary").distinct().collect()
     rows.sort(key=lambda r: (r["pattern"], bytes(r["at"]), bytes(r["value"])))
     x = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float)) for r in rows]
     weights, intercept = fit_logistic(x, np.array([posterior[r["pattern"]] for r in rows]), FEATURES)
@@ -220,7 +220,7 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 [id_column, "votes", "posterior", "score", "kept"],
             )
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, votes array<int>, posterior double, score double, kept boolean")
+    return docs.select(id_column, text_column).transform(map_batches, run, f"{id_column} {kind}, votes array<int>, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(data)[2] >= 0.5 for data in utf8_arrays(batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)

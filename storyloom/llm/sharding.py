@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, utf8_arrays
+from storyloom.llm._common import cut, map_batches, utf8_arrays
 
 #: Buckets of the random order and of the fractions; a power of two. A bucket holds rows / BUCKETS rows of a sort.
 BUCKETS = 4096
@@ -40,7 +40,7 @@ def with_crc32(docs: DataFrame, id_column: str, text_column: str, source_column:
             )
 
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_column, source_column)]
-    return docs.select(id_column, source_column, text_column).mapInArrow(run, f"id {kinds[0]}, source {kinds[1]}, bytes bigint, crc bigint")
+    return docs.select(id_column, source_column, text_column).transform(map_batches, run, f"id {kinds[0]}, source {kinds[1]}, bytes bigint, crc bigint")
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import PLAIN, cut, shared_value, word_hashes
+from storyloom.llm._common import PLAIN, cut, map_batches, shared_value, word_hashes
 from storyloom.llm.quality import fit_logistic
 
 #: Labelled documents (about; those of the smallest id hashes) that the model is fitted on, and its words.
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 counts.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["y", "words", "counts"])
 
-    sample = cut(texts.select("y", "text").mapInArrow(distinct_words, "y int, words array<bigint>, counts array<int>"), "toxic-sample")
+    sample = cut(texts.select("y", "text").transform(map_batches, distinct_words, "y int, words array<bigint>, counts array<int>"), "toxic-sample")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sum(v for k, v in size.items() if k > 0), size.get(0, 0)
     if not toxic or not clean:
@@ -175,7 +175,7 @@ def severity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
                 [id_column, "severity", "grade", "toxic"],
             )
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, severity double, grade int, toxic boolean")
+    return docs.select(id_column, text_column).transform(map_batches, run, f"{id_column} {kind}, severity double, grade int, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -187,4 +187,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
         for batch in batches:
             yield batch.filter(pa.array([shared.value.above(t.as_py())[0] < 0.5 for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut
+from storyloom.llm._common import cut, map_batches
 
 VERSION = "WARC/1.1"
 #: Characters of a block's segment, of a chunk of the framing, and records of a file: together they bound a file's size.
@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
                 found = [r for row in zip(*part.values()) for r in records_of(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["value"])
 
-    rows.mapInArrow(build, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.transform(map_batches, build, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
@@ -201,7 +201,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, _RECORD)
+    return files.select("content").transform(map_batches, run, _RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def payloads(whole: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(2), *columns], ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "problem"])
 
     columns = whole.select("page_id", "url", "refers_to", "record_id", "kind", "digest", "parts", "problem")
-    return columns.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string, problem string")
+    return columns.transform(map_batches, run, "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string, problem string")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import PLAIN, cut, mix64, shared_value, utf8_arrays, word_hashes
+from storyloom.llm._common import PLAIN, cut, map_batches, mix64, shared_value, utf8_arrays, word_hashes
 
 #: Words of the broadcast arrays of WORDS^2, with a place for all rarer words (0) and the border (the last).
 WORDS = 2048
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame, text_column: str, name: str) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(text_column).mapInArrow(count, "word bigint, n bigint").select("word", F.col("n").alias(name))
+    return docs.select(text_column).transform(map_batches, count, "word bigint, n bigint").select("word", F.col("n").alias(name))
 
 
 def pairs(text: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def _counted(docs: DataFrame, text_column: str, frequent: np.ndarray, name: str)
             codes = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["code", "n"])
 
-    return docs.select(text_column).mapInArrow(count, "code int, n bigint").select("code", F.col("n").alias(name))
+    return docs.select(text_column).transform(map_batches, count, "code int, n bigint").select("code", F.col("n").alias(name))
 
 
 class Models:
@@ -193,7 +193,7 @@ def _packed(docs: DataFrame, text_column: str, shared, buckets: int) -> DataFram
                     types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "base", "kind", "doc", "word", "other"])
 
-    return docs.select("_row", text_column).mapInArrow(run, _PACKED)
+    return docs.select("_row", text_column).transform(map_batches, run, _PACKED)
 
 
 def bucket_losses(models: Models, base: list, kind: list, doc: list, word: list, other: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -243,7 +243,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_column: str
         return pa.table([pa.array(ids), *(pa.array(x) for x in sums)], ["row", "t", "b"])
 
     schema = f"row bigint, id {kind}, n bigint, t double, b double"
-    whole = numbered.select("_row", "_id", text_column).mapInArrow(frequent_part, schema)
+    whole = numbered.select("_row", "_id", text_column).transform(map_batches, frequent_part, schema)
     buckets = max(1, -(-sum(models.tokens) // BUCKET))
     packed = _packed(numbered, text_column, shared, buckets).unionByName(_packed(target.withColumn("_row", F.lit(None).cast("bigint")), text_column, shared, buckets))
     parts = packed.groupBy("bucket").applyInArrow(rarer_part, "row bigint, t double, b double")
