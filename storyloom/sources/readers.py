@@ -22,6 +22,20 @@ def rss_items(spark: SparkSession, path: str, max_items: int = 100) -> DataFrame
     return named.where("link <> ''").withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_items).drop("_at")
 
 
+def atom_items(spark: SparkSession, path: str, max_items: int = 100) -> DataFrame:
+    """Entries of Atom files, as rss_items() gives RSS: the link is the first alternate one (no rel: alternate), published falls
+    back to updated. Entries without such a link are passed over."""
+    link = "array<struct<_href:string,_rel:string>>"
+    rows = spark.read.format("xml").option("rowTag", "entry").schema(f"title string, link {link}, summary string, content string, published string, updated string").load(path)
+    from pyspark.sql import Window
+
+    alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    longer = F.when(F.length(F.coalesce("content", F.lit(""))) > F.length(F.coalesce("summary", F.lit(""))), F.col("content")).otherwise(F.col("summary"))
+    named = rows.select(F.input_file_name().alias("file"), F.trim("title").alias("title"), F.trim(F.get(alternate, F.lit(0))["_href"]).alias("link"), longer.alias("text"), F.coalesce("published", "updated").alias("published"), F.monotonically_increasing_id().alias("_at"))
+    w = Window.partitionBy("file").orderBy("_at")
+    return named.where("link <> ''").withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_items).drop("_at")
+
+
 def json_feed_items(spark: SparkSession, path: str, max_items: int = 100) -> DataFrame:
     """Items of JSON Feed files, one document a file."""
     item = "struct<id:string,title:string,url:string,content_text:string,content_html:string,summary:string,date_published:string>"

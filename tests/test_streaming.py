@@ -94,3 +94,18 @@ def test_feed_order_and_links(spark, tmp_path):
     (tmp_path / "g.xml").write_text(f"<rss><channel><item><title>none</title></item><item><title>blank</title><link> </link></item>{items}</channel></rss>")
     got = sorted((r.place, r.title) for r in readers.rss_items(spark, f"file://{tmp_path}/g.xml", 5).collect())
     assert got == [(i + 1, f"t{i}") for i in range(5)]
+
+
+def test_atom_entries_take_the_alternate_link_in_feed_order(spark, tmp_path):
+    link = '<link rel="self" href="https://x.org/feed/1"/><link rel="alternate" type="text/html" href=" https://x.org/1 "/>'
+    entries = (
+        f"<entry><title>first</title>{link}<summary>short</summary><content>much longer</content><updated>2024-01-02T00:00:00Z</updated></entry>"
+        '<entry><title>no page</title><link rel="enclosure" href="https://x.org/a.mp3"/></entry>'
+        '<entry><title>plain</title><link href="https://x.org/2"/><summary>s</summary><published>2024-01-01T00:00:00Z</published><updated>2024-01-03T00:00:00Z</updated></entry>'
+        '<entry><title>last</title><link href="https://x.org/3"/></entry>'
+    )
+    (tmp_path / "a.xml").write_text(f'<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><link href="https://x.org"/>{entries}</feed>')
+    got = sorted((r.place, r.title, r.link, r.text, r.published) for r in readers.atom_items(spark, f"file://{tmp_path}/a.xml", 2).collect())
+    assert got == [(1, "first", "https://x.org/1", "much longer", "2024-01-02T00:00:00Z"), (2, "plain", "https://x.org/2", "s", "2024-01-01T00:00:00Z")]
+    (tmp_path / "none.xml").write_text("<feed/>")
+    assert readers.atom_items(spark, f"file://{tmp_path}/none.xml").count() == 0
