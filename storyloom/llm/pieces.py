@@ -3,7 +3,7 @@
 The encoder keeps, for each run of text, an agenda of adjacent symbol pairs ordered by the score of the piece
 they would make (ties: the leftmost), and merges until no pair makes a piece. Symbols that are no piece become
 byte pieces. No piece of such a vocabulary crosses from text to the word mark, so a text is dealt with in runs
-"marks + characters", and a run's ids are kept in a memo of bounded bytes, which ends with the task. Every run that is
+"marks + characters", and a run's ids are kept in a memo of bounded bytes, half of which stays for the next task. Every run that is
 new to a memo is checked against the sentencepiece library, for its ids and for its decoding, a batch at a time.
 
 Defined cases: a null or empty text has the end id alone and decodes to the empty text; very long texts are
@@ -86,6 +86,13 @@ class PieceCodec:
         self.changed: dict[str, str] = {}
         self.held = 0
 
+    def settle(self) -> None:
+        """At the end of a task: the fuller generation stays for the worker's next one, as the elder."""
+        if self.held > MEMO_BYTES // 2 or not self.elder:
+            self.elder = self.memo
+        self.memo, self.held = {}, 0
+        self.changed = {r: t for r, t in self.changed.items() if r in self.elder}
+
     def _remember(self, found: dict[str, str]) -> None:
         """Adds runs to the memo; a generation that is full becomes the elder one, and the one before it goes."""
         if self.held > MEMO_BYTES:
@@ -279,7 +286,7 @@ def _sha(s: str) -> str:
 def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", tokens: bool = False) -> DataFrame:
     """Per row: id, n_tokens (with the end id), ids_sha256, decoded_sha256, and ids with `tokens`.
 
-    One narrow pass over the two columns; memory holds one Arrow batch, the vocabulary and the memo, which ends with the task.
+    One narrow pass over the two columns; memory holds one Arrow batch, the vocabulary and the memo, of which one generation stays.
     """
     id_type = docs.schema[id_column].dataType
     schema = f"{id_column} {id_type.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * tokens
@@ -313,6 +320,6 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
             for whole in batches:
                 yield from encoded(c, whole)
         finally:
-            c.forget()
+            c.settle()
 
     return docs.select(id_column, text_column).transform(map_batches, run, schema)
