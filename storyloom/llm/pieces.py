@@ -61,7 +61,9 @@ class PieceCodec:
         self.bytes = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown, self.end = lib.unk_id(), lib.eos_id()
-        self.decimal = [str(i) for i in range(n)]
+        #: By id: its decimal digits, and its text, null where it has none of its own.
+        self.decimal = pa.array([str(i) for i in range(n)])
+        self.own_text = pa.array([self.text.get(i) for i in range(n)], pa.string())
         # symbols as numbers: a piece's id, or size + code point for a character that is no piece
         self.span = n + 0x110000
         made = sorted(
@@ -73,6 +75,11 @@ class PieceCodec:
         self.pairs = np.array([x[0] for x in made], np.int64)
         self.pair_id = np.array([x[1] for x in made], np.int64)
         self.pair_order = np.array([x[2] for x in made], np.int64)
+        #: The id at each place of the agenda, -1 where several ids share it.
+        ids, places = np.array(plain), np.array([self.order[pieces[i]] for i in plain])
+        self.at_place = np.full(len(place), -1, np.int64)
+        self.at_place[places] = ids
+        self.at_place[np.bincount(places) > 1] = -1
         self.of_char = np.arange(n, n + 0x110000, dtype=np.int64)
         for p, i in self.ids.items():
             if len(p) == 1:
@@ -133,7 +140,9 @@ class PieceCodec:
                     r = np.arange(len(where))
                     if not len(where):
                         break
-                made = self._pairs(symbols[r, best], symbols[r, best + 1])[1]
+                made = self.at_place[agenda[r, best]]
+                tied = np.flatnonzero(made < 0)
+                made[tied] = self._pairs(symbols[tied, best[tied]], symbols[tied, best[tied] + 1])[1]
                 width = symbols.shape[1]
                 if width == 2:
                     rows[where] = -1
@@ -176,21 +185,28 @@ class PieceCodec:
             return [symbol]
         return [self.bytes[b] for b in chr(symbol - self.size).encode("utf-8")] if self.bytes else [self.unknown]
 
-    def encode_runs(self, runs: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(runs)
-        short = [k for k, r in enumerate(runs) if len(r) <= SHORT_RUN]
-        if short:
-            flat, counts = self.merge_short([runs[k] for k in short])
-            symbols, ends = flat.tolist(), np.cumsum(counts).tolist()
-            plain, at, size = int(flat.max()) < self.size, 0, self.size
-            for k, end in zip(short, ends):
-                own = symbols[at:end]
-                out[k] = own if plain or max(own) < size else [i for s in own for i in self._spell(s)]
-                at = end
-        for k, r in enumerate(runs):
-            if len(r) > SHORT_RUN:
-                out[k] = [i for s in self.merge_long(r) for i in self._spell(s)]
-        return out
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All runs' ids, one run after another, and how many each run has."""
+        flat, counts = self.merge_short([r for r in runs if len(r) <= SHORT_RUN])
+        odd = flat >= self.size
+        if odd.any():
+            spelled = [self._spell(s) for s in flat[odd].tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[odd] = list(map(len, spelled))
+            ends = np.concatenate(([0], np.cumsum(width)))[np.cumsum(counts)]
+            flat, odd = np.repeat(flat, width), np.repeat(odd, width)
+            flat[odd] = list(chain.from_iterable(spelled))
+            counts = np.diff(ends, prepend=0)
+        long = np.fromiter((len(r) > SHORT_RUN for r in runs), bool, len(runs))
+        if long.any():
+            own = [[i for s in self.merge_long(runs[k]) for i in self._spell(s)] for k in np.flatnonzero(long)]
+            every = np.empty(len(runs), np.int64)
+            every[~long], every[long] = counts, list(map(len, own))
+            where = np.repeat(long, every)
+            ids = np.empty(len(where), np.int64)
+            ids[~where], ids[where] = flat, list(chain.from_iterable(own))
+            flat, counts = ids, every
+        return flat, counts
 
     def run_text(self, ids: list[int]) -> str:
         """The text of a run's ids, its leading mark as a space."""
@@ -214,18 +230,21 @@ class PieceCodec:
 
     def learn(self, runs: list[str]) -> tuple[dict[str, str], dict[str, str]]:
         """Encodes and decodes new runs; the library gets the same runs as one text, and must agree."""
-        found = self.encode_runs(runs)
-        texts = [self.run_text(i) for i in found]
-        flat, whole = list(chain.from_iterable(found)), "".join(runs)[1:]
+        flat, counts = self.encode_runs(runs)
+        edges = np.concatenate(([0], np.cumsum(counts)))
+
+        def joined(strings: pa.Array, between: str) -> list[str | None]:
+            return pc.binary_join(pa.ListArray.from_arrays(edges.astype(np.int32), strings.take(pa.array(flat))), between).to_pylist()
+
+        ids, whole = flat.tolist(), "".join(runs)[1:]
+        texts = [self.run_text(ids[a:z]) if t is None else t for t, a, z in zip(joined(self.own_text, ""), edges, edges[1:])]
         theirs = self.library.encode(whole, num_threads=1)
-        if flat != theirs or "".join(texts)[1:] != self.library.decode(theirs):
-            for r, own, text in zip(runs, found, texts):
-                theirs = self.library.encode(r[1:])
+        if ids != theirs or "".join(texts)[1:] != self.library.decode(theirs):
+            for r, text, a, z in zip(runs, texts, edges, edges[1:]):
+                own, theirs = ids[a:z], self.library.encode(r[1:])
                 if own != theirs and r != " " or text[1:] != self.library.decode(theirs):
                     raise AssertionError(f"{r!r}: the agenda gives {own}, {text!r}; the library {theirs}, {self.library.decode(theirs)!r}")
-        changed = {r: t for r, t in zip(runs, texts) if r != t}
-        decimal = self.decimal
-        return {r: " ".join([decimal[i] for i in ids]) for r, ids in zip(runs, found)}, changed
+        return dict(zip(runs, joined(self.decimal, " "))), {r: t for r, t in zip(runs, texts) if r != t}
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text: its ids (no end id) as decimals joined by spaces, and the text that they decode to."""
