@@ -119,6 +119,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
+#: The runtime Bloom filter of a join: bits a key, most bits (Spark's own bound, 8 MB), and the size of a scan that is worth one.
+KEY_BITS, MOST_BITS, FILTERED_SCAN = 12, 1 << 26, "64m"
+
+
+@contextlib.contextmanager
+def runtime_filter(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Within it, joins that move both sides let Spark drop rows before they move, by a Bloom filter with room for `keys`
+    keys of the selective side. It has MOST_BITS at most: of more than some ten million keys it lets most rows by, and the
+    join moves them as it would without; its result is the same in any case."""
+    place = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {
+        "applicationSideScanSizeThreshold": FILTERED_SCAN,
+        "creationSideThreshold": "1t",  # the filter's size is bounded, whatever that side's is
+        "expectedNumItems": max(1, keys),
+        "numBits": min(MOST_BITS, max(1 << 20, KEY_BITS * keys)),
+    }
+    before = {key: spark.conf.get(place + key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(place + key, str(value))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(place + key, value)
+
+
 def release_memory() -> None:
     """Gives what this process has freed back to the system; the allocators would keep it for later."""
     gc.collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import scratch_path, table
+from storyloom.llm._common import runtime_filter, scratch_path, table
 
 
 def piece_model() -> str:
@@ -36,12 +36,14 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled good; background: all documents."""
+    """Target: the documents labelled good; background: all documents. Where the labels are too many for a broadcast, the
+    join that finds the target moves the documents that pass a Bloom filter of the good ids, not all of them."""
     from storyloom.llm.xent import cross_entropy_difference
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    with runtime_filter(spark, good.count()):
+        return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

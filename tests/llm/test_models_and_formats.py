@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from storyloom.llm import multiindex, pieces, preferences, quality, toxicity, warc, xent
+from storyloom.llm import _common, multiindex, pieces, preferences, quality, toxicity, warc, xent
 from storyloom.llm.registry import piece_model
 
 SF = "/root/testdata/sf0.001"
@@ -396,6 +396,26 @@ def test_cross_entropy_against_counts(spark, monkeypatch):
     assert xent.cross_entropy_difference(frame.limit(0), target.limit(0)).collect() == []
 
 
+def test_runtime_filter_drops_rows_before_they_move(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(_common, "FILTERED_SCAN", "1b")
+    spark.createDataFrame([(k, f"text {k}") for k in range(2000)] + [(None, "no id")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(0, 2000, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    docs, good = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels").where("quality = 1").select("doc_id")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.numBits"]
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "-1")
+    try:
+        with _common.runtime_filter(spark, good.count()):
+            found = docs.join(good, "doc_id", "left_semi")
+            assert "might_contain" in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.doc_id for r in found.collect()) == list(range(0, 2000, 14))
+        with _common.runtime_filter(spark, 0):
+            assert docs.join(good.where("doc_id < 0"), "doc_id", "left_semi").collect() == []
+    finally:
+        spark.conf.set(names[0], before[0])
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_cross_entropy_scores_every_word(spark):
     r = random.Random(7)
     texts = [" ".join(f"w{int(r.paretovariate(0.4)) % 9000}" for _ in range(r.randint(1, 60))) for _ in range(800)]
