@@ -414,8 +414,8 @@ def stories_fused(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rerank_features(spark: SparkSession, sf: str) -> DataFrame:
     a, s, now = _stories(spark, sf)
-    hits = retrieval.fused_stories(_fused(spark, sf), a.select("id", "story_id"))
-    lexical, dense = cut(_lexical(spark, sf), "lexical"), _dense(spark, sf).withColumn("qid", F.expr("qid div 100"))
+    hits = retrieval.fused_stories(_fused(spark, sf, retrieval.DEPTH), a.select("id", "story_id"))
+    lexical, dense = cut(_lexical(spark, sf), "lexical"), _dense(spark, sf, retrieval.DEPTH).withColumn("qid", F.expr("qid div 100"))
     signals = retrieval.signals(hits, ranking.story_features(a, s, now), ranking.story_summary(a, s), lexical, dense, a.select("id", "story_id"))
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("entities"))
     out = retrieval.rerank_features(queries, signals)
