@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,27 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     sums = parts.groupBy(key, "at").agg(F.sum("x").alias("x"))
     whole = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("c"))
     return whole.select(key, unit(F.col("c")).alias("centroid"))
+
+
+def padded(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow column of vectors as the rows of a matrix, filled up with zeros, and their lengths; -1 and zeros stand for
+    a vector that is null or has null components."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.array(pc.fill_null(pc.list_value_length(column), -1), np.int64)
+    n, flat = np.maximum(size, 0), column.flatten()
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), int(n.max(initial=0))))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        holed = row[np.array(flat.is_null())]
+        out[holed], size[holed] = 0.0, -1
+    return out, size
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, summed in order of the components like dot()."""
+    total = np.zeros(len(a))
+    with np.errstate(all="ignore"):
+        for i in range(a.shape[1]):
+            total += a[:, i] * b[:, i]
+    return total

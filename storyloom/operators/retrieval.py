@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom import fixed
+from storyloom.checkpoints import cut
 from storyloom.functions import text as tx
-from storyloom.functions.vectors import dot, norm
+from storyloom.functions.vectors import dot, dots, norm, padded
 
 #: Depth of each retrieval list, and the constant of rank fusion.
 DEPTH, FUSION = 200, 60
@@ -217,23 +222,98 @@ def hashed_embedding(c: Column, size: int = 384) -> Column:
     return unit(added)
 
 
-def nearest_owner(items: DataFrame, owners: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Per item the owner of the largest cosine (ties: smaller owner) among those that meet the condition over both.
-
-    items: id, v, and what the condition needs; owners: owner, ov, the like. The owners are the stated set: they meet all
-    items in blocks of at most QUERY_BLOCK, and each task keeps one row an item.
+#: Similarities have six places; how near to half of the last one it is left to exact sums which way they are rounded.
+PLACES, MARGIN = 1e6, 1e-4
+#: Components of the owners of a block, 8 MB; pairs that are scored at once; pairs of a task.
+OWNER_COMPONENTS, TILE, TASK_PAIRS = 1 << 20, 1 << 21, 40_000_000
+
+
+class OwnerBlock:
+    """A block of owners as matrices, in order of the owners."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.sort_by("owner").combine_chunks()
+        self.owner, self.since = rows["owner"].to_numpy(), rows["since"].to_numpy()
+        self.x, self.size = padded(rows["ov"])
+        self.norm = np.sqrt(dots(self.x, self.x))
+
+    def best(self, ids: pa.Array, at: np.ndarray | None, x: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """id, owner, similarity of each item's nearest owners of the block: among them the smallest owner of the largest
+        similarity after rounding to six places. A matrix product finds them, with errors far below MARGIN; what is
+        returned is summed in order of the components, as SQL expressions do. at: None takes all owners for all times."""
+        step, width = max(1, TILE // max(1, len(self.owner))), max(x.shape[1], self.x.shape[1])
+        mine = np.pad(self.x, ((0, 0), (0, width - self.x.shape[1])))
+        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+        for a in range(0, len(ids), step):
+            z = min(len(ids), a + step)
+            n = np.sqrt(dots(x[a:z], x[a:z]))
+            with np.errstate(all="ignore"):
+                length = n[:, None] * self.norm
+                s = x[a:z] @ mine.T / length
+            s[length == 0] = 0.0
+            missing = (size[a:z, None] < 0) | (self.size < 0) | ((size[a:z, None] != self.size) & (length != 0))
+            s[missing] = -np.inf
+            late = np.zeros(s.shape, bool) if at is None else self.since > at[a:z, None]
+            s[late] = -np.inf
+            top = s.max(1)
+            one = np.isnan(top)  # NaN is the largest of all
+            found = [(np.flatnonzero(one), s[one].argmax(1))]
+            one = (top == -np.inf) & ~late.all(1)  # owners, but no similarity with any
+            found.append((np.flatnonzero(one), late[one].argmin(1)))
+            r, c = np.nonzero(s >= np.where(np.isfinite(top), top - 2 / PLACES, np.inf)[:, None])
+            u = s[r, c] * PLACES
+            open_ = np.abs(u - np.floor(u) - 0.5) < MARGIN  # may be rounded up or down
+            sure, first = np.flatnonzero(~open_)[::-1], np.full((z - a, 4), -1)
+            below = np.rint(np.where(np.isfinite(top), top, 0.0) * PLACES)[r[sure]] - np.rint(u[sure])
+            first[r[sure], below.astype(np.int64)] = sure  # the last one written, of the smallest owner, stays
+            first = first[first >= 0]
+            found.append((r[first], c[first]))
+            r, c = r[open_], c[open_]
+            exact = dots(x[a:z][r], mine[c]) / (n[r] * self.norm[c])
+            _, first = np.unique(np.stack([r, exact]), axis=1, return_index=True)
+            found.append((r[first], c[first]))
+            r, c = (np.concatenate(k) for k in zip(*found))
+            with np.errstate(all="ignore"):
+                exact = np.where(length[r, c] == 0, 0.0, dots(x[a:z][r], mine[c]) / length[r, c])
+            columns = [ids.take(pa.array(a + r)), pa.array(self.owner[c]), pa.array(exact, mask=missing[r, c])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "owner", "similarity"])
+
+
+def nearest_owner(items: DataFrame, owners: DataFrame, timed: bool = False) -> DataFrame:
+    """Per item the owner of the largest cosine (ties: smaller owner); timed: among owners whose `since` is at most the
+    item's `at` (both integers; null is never met).
+
+    items: id, v; owners: owner, ov. All pairs are scored, as matrix products in Arrow tasks of about TASK_PAIRS each: the
+    owners, the stated set, in blocks of OWNER_COMPONENTS components at most, each sent to the tasks once, and a task
+    keeps a row or two an item and block. A cosine with a zero vector is 0; with a null one, one with null
+    components or one of another length it is null, which is less than any other; NaN is more.
     """
-    n = owners.count()
-    blocks = max(1, -(-n // QUERY_BLOCK * 5 // 4))
-    split = owners.withColumn("_block", F.pmod(F.xxhash64("owner"), F.lit(blocks)))
-    best = None
+    spark = items.sparkSession
+    at, since = (F.col(c).cast("long") if timed else F.lit(0).cast("long") for c in ("at", "since"))
+    asked = cut(items.select(F.col("id").cast("long").alias("id"), at.alias("at"), F.col("v").cast("array<double>").alias("v")).where("at is not null"), "items")
+    stated = owners.select(F.col("owner").cast("long").alias("owner"), since.alias("since"), F.col("ov").cast("array<double>").alias("ov"))
+    stated = cut(stated.where("owner is not null and since is not null").distinct(), "owners")
+    n = asked.count()
+    size = stated.agg(F.count("*").alias("n"), F.max(F.size("ov")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["d"] or 1) * 5 // (4 * OWNER_COMPONENTS)))
+    schema, best = "id long, owner long, similarity double", None
+    dealt = asked.repartition(max(1, -(-n * size["n"] // (blocks * TASK_PAIRS))))
     for i in range(blocks):
-        block = F.broadcast(split.where(F.col("_block") == i).drop("_block"))
-        met = items.join(block, F.lit(True) if condition is None else condition)
-        length = norm(F.col("v")) * norm(F.col("ov"))
-        sim = F.round(F.when(length == 0, 0.0).otherwise(dot(F.col("v"), F.col("ov")) / length), 6)
-        part = met.select("id", "owner", sim.alias("similarity"))
+        rows = stated.where(F.pmod(F.xxhash64("owner", "since", "ov"), F.lit(blocks)) == i).toArrow()
+        if not rows.num_rows:
+            continue
+
+        def meet(batches: Iterator[pa.RecordBatch], block: OwnerBlock = OwnerBlock(rows)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at = batch.column(1).to_numpy() if timed else None
+                    yield from block.best(batch.column(0), at, *padded(batch.column(2)))
+
+        part = dealt.mapInArrow(meet, schema)
         best = part if best is None else best.unionByName(part)
+    if best is None:
+        return spark.createDataFrame([], schema)
+    best = best.withColumn("similarity", F.round("similarity", 6))
     top_one = F.max_by(F.struct("owner", "similarity"), F.struct(F.col("similarity"), -F.col("owner")))
     return best.groupBy("id").agg(top_one.alias("x")).select("id", "x.*")
 

@@ -311,9 +311,9 @@ def newest_members(spark: SparkSession, sf: str) -> DataFrame:
 def story_problem_links(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest problem of each article with a vector, among those last seen before it; a problem's vector is that of its id."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    a = schemas.articles(spark, sf).select("id", "discovered_at").join(v, "id")
-    p = _problems(spark, sf)[1].select(F.col("problem_id").alias("owner"), "last_seen_at").join(v.toDF("owner", "ov"), "owner")
-    return retrieval.nearest_owner(a, p, F.col("last_seen_at") <= F.col("discovered_at"))
+    a = schemas.articles(spark, sf).select("id", F.unix_micros("discovered_at").alias("at")).join(v, "id")
+    p = _problems(spark, sf)[1].select(F.col("problem_id").alias("owner"), F.unix_micros("last_seen_at").alias("since")).join(v.toDF("owner", "ov"), "owner")
+    return retrieval.nearest_owner(a, p, timed=True)
 
 
 @query

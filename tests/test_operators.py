@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storyloom import fixed, schemas
+from storyloom.functions.vectors import cosine
 from storyloom.operators import dedup, evaluation, ingest, problems, ranking, retrieval, views
 from storyloom.plans import oracles, queries
 
@@ -191,6 +192,26 @@ def test_replay(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 1}
 
 
+def test_nearest_owner_against_expressions(spark, monkeypatch):
+    r = random.Random(5)
+    nan, some = float("nan"), [[r.gauss(0, 1) for _ in range(5)] for _ in range(30)]
+    odd = [None, [0.0] * 5, [], [1.0, None, 1.0, 1.0, 1.0], [1.0, 2.0], [nan, 1.0, 1.0, 1.0, 1.0], [1e200] * 5, [1e-200] * 5, some[3], [2 * x for x in some[4]], [1e-3 + 5e-7, 1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0]]
+    x = spark.createDataFrame([(i, r.choice([None, *range(9)]), v) for i, v in enumerate(some + odd)], "id long, at long, v array<double>")
+    monkeypatch.setattr(retrieval, "TILE", 70)
+    for owned, timed, components in ((some[:20] + odd, True, 100), (some[:20] + odd, False, 1 << 20), (odd[:5], True, 1 << 20), (some[:1] * 40, True, 1 << 20), ([], True, 1 << 20)):
+        monkeypatch.setattr(retrieval, "OWNER_COMPONENTS", components)
+        o = spark.createDataFrame([(100 - i, r.choice([None, *range(9)]), v) for i, v in enumerate(owned)], "owner long, since long, ov array<double>")
+        both = x.join(o, F.expr("since <= at" if timed else "true")).withColumn("similarity", F.round(cosine(F.col("v"), F.col("ov")), 6))
+        best = F.max_by(F.struct("owner", "similarity"), F.struct(F.col("similarity"), -F.col("owner"))).alias("x")
+        want = both.groupBy("id").agg(best).select("id", "x.*").collect()
+        assert sorted(map(str, retrieval.nearest_owner(x, o, timed).collect())) == sorted(map(str, want))
+
+
+def test_story_problem_links_joins_no_pairs(spark):
+    plan = queries.ALL["story_problem_links"](spark, SF)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
 def test_validation_and_claims(spark):
     lines = spark.createDataFrame([(json.dumps({"id": "1", "type": "t"}),), ("{broken",), (json.dumps({"id": "1", "extra": 2}),)], "value string")
     rows = ingest.parsed(lines, schemas.envelope(schemas.EXTRACTED))
