@@ -51,6 +51,15 @@ def padded(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def arrays(column: pa.Array, kind: type) -> list[np.ndarray | None]:
+    """An Arrow column of arrays, each as numbers of a kind, with NaN (0 in integers) for null components."""
+    size, flat = np.array(pc.fill_null(pc.list_value_length(column), -1), np.int64), column.flatten()
+    numbers = flat.to_numpy(zero_copy_only=False) if kind is np.float64 else flat.fill_null(0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(np.maximum(size, 0)).tolist()
+    numbers = numbers.astype(kind)  # a copy, which does not keep the batch
+    return [numbers[z - n : z] if n >= 0 else None for n, z in zip(size.tolist(), upto)]
+
+
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of the rows of two matrices, summed in order of the components like dot()."""
     total = np.zeros(len(a))

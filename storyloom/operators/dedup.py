@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict, deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from storyloom import fixed
 from storyloom.checkpoints import cut
 from storyloom.functions import text as tx
 from storyloom.functions.hashing import band_keys, estimated_jaccard, minhash
+from storyloom.functions.vectors import arrays
 from storyloom.operators.problems import join_probability
 
 
@@ -89,59 +94,194 @@ def story_components(articles: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def replay(articles: DataFrame, scorer: dict[str, float] = fixed.STORY_SCORER, window_hours: int = 72, nearest: int = 10, compared: int = 25) -> DataFrame:
-    """Online assignment in order of (discovered_at, id), one group: id, story_id, probability.
+    """Online assignment in order of (discovered_at, id): id, story_id, probability.
 
     A copy joins its original's story at once. Others meet the stories with the nearest centroids or a shared band
     within the window, are scored against the newest members, and join the best one at or above the threshold (ties:
-    the larger story id). Each row's outcome needs all before it, so this is for corpora that one task can hold;
-    story_components() is the way for others. articles: id, discovered_at, source_id, content_hash, title tokens `t`, versions `ver`,
-    bands, signature, vector `v`.
+    the larger story id). A vector with null or non-finite components, or of another length than the first, counts as
+    none; rows without a time come last and meet no story.
+
+    Each row's outcome needs those before it, so the rows pass through one task, in order and a batch at a time. The task
+    keeps the stories of the window, and of older ones those of whose texts copies are still to come; how often texts
+    and bands occur is counted before. A row costs the stories in its window, whatever came before them. ids are
+    unique. articles: id, discovered_at, source_id, content_hash, title tokens `t`, versions `ver`, bands, signature,
+    vector `v`.
     """
+    rows = articles.select(
+        F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), F.unix_micros("discovered_at").alias("at"), "source_id", "content_hash", "t", "ver",
+        "bands", "signature", F.col("v").cast("array<double>").alias("v"),
+    )
+    rows = cut(rows, "replay")
+    copies = rows.groupBy("content_hash").agg(F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("content_hash", "copied")
+    band = rows.select("row", F.explode(F.array_distinct("bands")).alias("band"))
+    again = band.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = band.join(again, "band").groupBy("row").agg(F.collect_list("band").alias("bands"), F.collect_list("rows").alias("rows"))
+    rows = rows.drop("bands").join(copies, F.col("content_hash").eqNullSafe(F.col("copied")), "left").join(shared, "row", "left")
+    ordered = rows.repartition(1).sortWithinPartitions(F.asc_nulls_last("at"), F.asc_nulls_last("id"), "content_hash", "row")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Replay(scorer, window_hours * 3_600_000_000, nearest, compared)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("id", "at", "source_id", "content_hash", "t", "ver", "copies", "bands", "rows")]
+            signature, v = (arrays(batch.column(c), kind) for c, kind in (("signature", np.int64), ("v", np.float64)))
+            out = [state.add(*row) for row in zip(*columns, signature, v)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())], ["id", "story_id", "probability"])
+
+    return ordered.mapInArrow(assign, "id long, story_id long, probability double")
+
+
+class Story:
+    """id, the newest members (source, versions, signature, vector), how many there are, the centroid and its place, the
+    first title's tokens, the last time, bands that are still to come, and texts with copies still to come."""
+
+    __slots__ = ("bands", "centre", "id", "last", "members", "n", "place", "texts", "title")
+
+    def __init__(self, id_: int | None, title: frozenset, compared: int) -> None:
+        self.id, self.title, self.members, self.n = id_, title, deque(maxlen=compared), 0
+        self.centre, self.place, self.last, self.bands, self.texts = None, -1, None, set(), 0
+
+
+class Replay:
+    """What replay() has to remember. Stories are `live`, in order of their last time, or `asleep`: out of the window, but
+    of a text with copies to come."""
+
+    def __init__(self, scorer: dict[str, float], window: int, nearest: int, compared: int) -> None:
+        self.scorer, self.window, self.nearest, self.compared = scorer, window, nearest, compared
+        self.live: OrderedDict[float, Story] = OrderedDict()
+        self.asleep: dict[float, Story] = {}
+        self.texts: dict[str | None, list] = {}  # story, copies to come
+        self.bands: dict[str, list] = {}  # keys of live stories, rows to come
+        self.centres, self.keys = np.zeros((64, 0)), []  # of the live stories with a centroid
+
+    def add(self, id_, at, source, text, title, ver, copies, bands, rows, signature, v) -> tuple[int | None, float | None]:
+        """story_id and probability of the next row."""
+        while self.live and (at is None or at - next(iter(self.live.values())).last > self.window):
+            self._sleep(next(iter(self.live)))
+        bands = list(zip(bands or (), rows or ()))
+        if known := self.texts.get(text):
+            key, known[1] = known[0], known[1] - 1
+            story = self.live.get(key) or self.asleep[key]
+            if not known[1]:
+                del self.texts[text]
+                story.texts -= 1
+            for band, n in bands:
+                self._pass(band, n, None)
+            if at is not None:
+                self._touch(key, story, at)
+            elif not story.texts:
+                self.asleep.pop(key, None)
+            return story.id, None
+        v = self._unit(v)
+        tokens, versions = frozenset(title or ()), frozenset(ver or ())
+        key, p = self._best(at, source, tokens, versions, bands, signature, v) or (math.nan if id_ is None else id_, None)
+        story = self.live.get(key) or self.asleep.get(key) or Story(id_, tokens, self.compared)
+        if v is not None:
+            total = v if story.centre is None else story.centre * story.n + v
+            story.centre = total / max(np.linalg.norm(total), 1e-12)
+        story.members.append((source, versions, signature, v))
+        story.n += 1
+        if copies:
+            self.texts[text] = [key, copies - 1]
+            story.texts += 1
+        if at is None:
+            self.asleep[key] = story
+            if not story.texts:
+                del self.asleep[key]
+        else:
+            self._touch(key, story, at)
+        for band, n in bands:
+            self._pass(band, n, key if at is not None else None)
+        return story.id, p
+
+    def _unit(self, v: np.ndarray | None) -> np.ndarray | None:
+        if v is None or not np.isfinite(v).all():
+            return None
+        if not self.centres.shape[1]:
+            self.centres = np.zeros((len(self.centres), len(v)))
+        if len(v) != self.centres.shape[1] or not len(v):
+            return None
+        return v / length if (length := np.linalg.norm(v)) > 0 else v
+
+    def _best(self, at, source, tokens, versions, bands, signature, v) -> tuple[float, float] | None:
+        """Key and probability of the story to join."""
+        if at is None:
+            return None
+        met = {k for band, _ in bands if band in self.bands for k in self.bands[band][0]}
+        if v is not None and self.keys:
+            met.update(self._close(v))
+        s, best = self.scorer, None
+        for k in met:
+            story = self.live[k]
+            cosine, same, source_seen, theirs = None, 0.0, False, set()
+            for m_source, m_versions, m_signature, m_v in story.members:
+                if v is not None and m_v is not None:
+                    c = float(v @ m_v)
+                    cosine = c if cosine is None or c > cosine else cosine
+                if signature is not None and m_signature is not None:
+                    same = max(same, float(np.mean(signature == m_signature)))
+                source_seen = source_seen or m_source == source
+                theirs |= m_versions
+            values = {
+                "minhash_jaccard": same,
+                "title_jaccard": len(tokens & story.title) / len(tokens | story.title) if tokens and story.title else 0.0,
+                "hours_gap": abs((at - story.last) / 1e6) / 3600,
+                "same_source": float(source_seen),
+                "version_conflict": float(bool(versions) and bool(theirs) and not versions & theirs),
+            }
+            z = s["intercept"] + s["max_member_cosine"] * ((-1.0 if cosine is None else cosine) - s["cosine_center"])
+            z += sum(s[n] * x for n, x in values.items())
+            found = 1 / (1 + np.exp(-min(max(z, -50.0), 50.0))), k
+            best = found if best is None else max(best, found)
+        return (best[1], float(best[0])) if best and best[0] >= s["threshold"] else None
+
+    def _close(self, v: np.ndarray) -> list[float]:
+        """The nearest centroids: one product names those that may be, each is then taken by itself, which does not depend
+        on its place."""
+        n = len(self.keys)
+        if n <= self.nearest:
+            return self.keys
+        near = self.centres[:n] @ v
+        some = np.flatnonzero(near >= np.partition(near, n - self.nearest)[n - self.nearest] - 1e-9).tolist()
+        return [k for _, k in sorted((-float(v @ self.live[self.keys[i]].centre), self.keys[i]) for i in some)[: self.nearest]]
+
+    def _touch(self, key: float, story: Story, at: int) -> None:
+        """The story's last time is now, and its centroid has changed."""
+        if key not in self.live:
+            self.asleep.pop(key, None)
+            self.live[key] = story
+            story.bands = {b for b in story.bands if b in self.bands}
+            for band in story.bands:
+                self.bands[band][0].add(key)
+        self.live.move_to_end(key)
+        story.last = at
+        if story.centre is not None:
+            if story.place < 0:
+                story.place = len(self.keys)
+                self.keys.append(key)
+                if len(self.keys) > len(self.centres):
+                    self.centres = np.concatenate([self.centres, np.zeros_like(self.centres)])
+            self.centres[story.place] = story.centre
+
+    def _sleep(self, key: float) -> None:
+        story = self.live.pop(key)
+        for band in story.bands:
+            self.bands[band][0].discard(key)
+        if story.place >= 0:  # the last place's story moves here
+            moved = self.keys.pop()
+            if moved != key:
+                self.keys[story.place], self.live[moved].place = moved, story.place
+                self.centres[story.place] = self.live[moved].centre
+            story.place = -1
+        if story.texts:
+            self.asleep[key] = story
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["discovered_at", "id"], kind="stable")
-        stories: dict = {}
-        of_content: dict = {}
-        out = []
-        for row in group.itertuples(index=False):
-            v = np.asarray(row.v, float) if row.v is not None else None
-            if v is not None and (length := np.linalg.norm(v)) > 0:
-                v = v / length
-            if row.content_hash in of_content:
-                out.append((row.id, of_content[row.content_hash], None))
-                stories[of_content[row.content_hash]]["last"] = row.discovered_at
-                continue
-            bands = set(row.bands) if row.bands is not None else set()
-            live = {k: s for k, s in stories.items() if row.discovered_at - s["last"] <= pd.Timedelta(hours=window_hours)}
-            close = sorted((k for k in live if v is not None and live[k]["centre"] is not None), key=lambda k: (-float(v @ live[k]["centre"]), k))[:nearest]
-            best = None
-            for k in set(close) | {k for k, s in live.items() if s["bands"] & bands}:
-                s, members = live[k], live[k]["members"][-compared:]
-                tokens, theirs = set(row.t), set(s["title"])
-                versions, known = set(row.ver), set().union(*(set(m.ver) for m in members))
-                f = {
-                    "max_member_cosine": max((float(v @ m_v) for m_v in s["vectors"][-compared:] if v is not None and m_v is not None), default=-1.0),
-                    "minhash_jaccard": max((float(np.mean(np.asarray(row.signature) == np.asarray(m.signature))) for m in members if row.signature is not None and m.signature is not None), default=0.0),
-                    "title_jaccard": len(tokens & theirs) / len(tokens | theirs) if tokens and theirs else 0.0,
-                    "hours_gap": abs((row.discovered_at - s["last"]).total_seconds()) / 3600,
-                    "same_source": float(any(m.source_id == row.source_id for m in members)),
-                    "version_conflict": float(bool(versions) and bool(known) and not versions & known),
-                }
-                z = scorer["intercept"] + scorer["max_member_cosine"] * (f["max_member_cosine"] - scorer["cosine_center"])
-                z += sum(scorer[n] * f[n] for n in ("minhash_jaccard", "title_jaccard", "hours_gap", "same_source", "version_conflict"))
-                p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-                best = max(best, (p, k)) if best else (p, k)
-            chosen, p = (best[1], float(best[0])) if best and best[0] >= scorer["threshold"] else (row.id, None)
-            s = stories.setdefault(chosen, {"members": [], "vectors": [], "bands": set(), "centre": None, "title": row.t, "last": row.discovered_at})
-            if v is not None:
-                total = v if s["centre"] is None else s["centre"] * len(s["members"]) + v
-                s["centre"] = total / max(np.linalg.norm(total), 1e-12)
-            s["members"].append(row)
-            s["vectors"].append(v)
-            s["bands"] |= bands
-            s["last"] = max(s["last"], row.discovered_at)
-            of_content[row.content_hash] = chosen
-            out.append((row.id, chosen, p))
-        return pd.DataFrame(out, columns=["id", "story_id", "probability"]).astype({"probability": "float64"})
-
-    return articles.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(assign, "id long, story_id long, probability double")
+    def _pass(self, band: str, n: int, key: float | None) -> None:
+        """One of the n rows with the band has been, and was put into the story."""
+        keys = self.bands.setdefault(band, [set(), n])
+        keys[1] -= 1
+        if not keys[1]:
+            for k in self.bands.pop(band)[0]:
+                self.live[k].bands.discard(band)
+        elif key is not None:
+            keys[0].add(key)
+            self.live[key].bands.add(band)

@@ -208,7 +208,7 @@ def story_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def story_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Order-dependent, so one group by its meaning; the scalable form is story_components."""
+    """Order-dependent, so one task by its meaning; the scalable form is story_components."""
     a, s = _signed(spark, sf)
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     rows = a.join(s, "id", "left").join(v, "id", "left")

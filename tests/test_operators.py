@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -192,6 +193,19 @@ def test_replay(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 1}
 
 
+def test_replay_keeps_the_window_only():
+    state = dedup.Replay(fixed.STORY_SCORER, 72 * 3_600_000_000, 10, 25)
+    r, minute = np.random.default_rng(3), 60_000_000
+    for i in range(3_000):
+        copies, bands = (2, ["late"]) if i in (6, 2_900) else (None, [f"x{i // 2}"])
+        story, _ = state.add(i, i * 7 * minute, "s", "copied" if copies else f"h{i}", [f"w{i}"], [], copies, bands, [3 if copies else 2], np.array([i]), r.normal(size=4) if i % 5 else None)
+        assert len(state.live) <= 618 and len(state.asleep) <= 1 and len(state.bands) <= 4 and len(state.texts) <= 1
+        assert i != 2_900 or story == 6  # a copy that comes long after its original, whose story wakes up with it
+    again = state.add(3_000, 2_900 * 7 * minute, "t", "new", ["w6"], [], None, ["late"], [3], np.array([6]), state.live[6].centre)
+    assert again[0] == 6 and again[1] > 0.9 and not state.texts and "late" not in state.bands
+    assert state.add(3_001, None, "t", "null time", ["w5"], [], None, None, None, None, None) == (3_001, None) and not state.live
+
+
 def test_nearest_owner_against_expressions(spark, monkeypatch):
     r = random.Random(5)
     nan, some = float("nan"), [[r.gauss(0, 1) for _ in range(5)] for _ in range(30)]
