@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -147,6 +148,19 @@ def test_minhash_estimates_jaccard(spark):
     assert rates == [0.12, 0.64, 0.99]
 
 
+def test_minhash_of_rows_in_batches(spark, monkeypatch):
+    rows = [(1, ["a", None, "b"]), (2, []), (3, None), (1, ["c"]), (None, ["d"]), (4, [f"x{i}" for i in range(50)])]
+    monkeypatch.setattr(hashing, "HASHES", 3)
+    df = hashing.minhash(spark.createDataFrame(rows, "id long, s array<string>"), "id", "s")
+    x = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % hashing.PRIME
+    want = {k: [min((x(t) * a + b) % hashing.PRIME for t in s) for a, b in hashing.coefficients()] for k, s in ((1, "abc"), (None, "d"), (4, rows[5][1]))}
+    assert {r.id: r.signature for r in df.collect()} == want
+    edge = [0, 1, hashing.PRIME - 1, hashing.PRIME - 2]
+    _, least = hashing.minima(pa.array([[v] for v in edge]))
+    assert least.tolist() == [[(v * a + b) % hashing.PRIME for a, b in hashing.coefficients()] for v in edge]
+    assert "Generate" not in df._jdf.queryExecution().toString()  # no row a shingle
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "k int, v array<double>")
     assert [r[0] for r in rows.select(vectors.norm(F.col("v"))).collect()] == [5.0, 2.0, 0.0]
