@@ -67,3 +67,12 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for i in range(a.shape[1]):
             total += a[:, i] * b[:, i]
     return total
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of each row of a with each of b, summed like dots()."""
+    total = np.zeros((len(a), len(b)))
+    with np.errstate(all="ignore"):
+        for i in range(a.shape[1]):
+            total += a[:, i, None] * b[:, i]
+    return total

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from storyloom import fixed
 from storyloom.checkpoints import cut
 from storyloom.functions import text as tx
-from storyloom.functions.vectors import dot, dots, norm, padded
+from storyloom.functions.vectors import dots, in_order, padded
 
 #: Depth of each retrieval list, and the constant of rank fusion.
 DEPTH, FUSION = 200, 60
@@ -79,27 +79,140 @@ def match_all(scored: DataFrame) -> DataFrame:
 
 #: Queries of a block; a block is broadcast, and the vectors are scanned once for each.
 QUERY_BLOCK = 2_000
+#: Similarities have six places; how near to half of the last one it is left to exact sums which way they are rounded.
+PLACES, MARGIN = 1e6, 1e-4
+#: Pairs that are scored at once; pairs of a task.
+TILE, TASK_PAIRS = 1 << 21, 40_000_000
+#: What stands for a null similarity, which is less than any other. NaN, which is more, is infinite.
+NULL = -1e308
+
+
+class QueryBlock:
+    """A block of queries as matrices."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.sort_by("qid").combine_chunks()
+        self.qid = rows["qid"].to_numpy()
+        self.x, self.size = padded(rows["q"])
+        self.usual = np.bincount(self.size[self.size >= 0]).argmax() if (self.size >= 0).any() else 0
+        self.norm, self.unit, self.odd = self.units(self.x, self.size)
+
+    def units(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Norms, vectors of length one, and for which vectors their product is no similarity: those with null
+        components, another length, or a norm so large or small that sums depend on their order."""
+        with np.errstate(all="ignore"):
+            n = np.sqrt(dots(x, x))
+            odd = (size < 0) | ((n != 0) & ((size != self.usual) | ~((n > 1e-100) & (n < 1e100))))
+            return n, np.where(((n == 0) | odd)[:, None], 0.0, x / n[:, None]), odd
+
+    def exact(self, product: np.ndarray, n: np.ndarray, size: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Similarities with queries c, from products that were summed in order of the components, as SQL expressions do."""
+        with np.errstate(all="ignore"):
+            length = n * self.norm[c]
+            s = np.where(length == 0, 0.0, product / length)
+        s[np.isnan(s)] = np.inf
+        s[(size < 0) | (self.size[c] < 0) | ((size != self.size[c]) & (length != 0))] = NULL
+        return s
+
+    def rounded(self, s: np.ndarray, x: np.ndarray, n: np.ndarray, size: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The similarities s of vectors x with queries c to six places, half up like SQL's. Only near a half their
+        exact sums are taken; a half is the double next to it, as a double's shortest decimal says."""
+        with np.errstate(all="ignore"):
+            u = np.abs(s) * PLACES
+            whole = np.floor(u)
+            up = u - whole > 0.5
+            o = np.flatnonzero(np.abs(u - whole - 0.5) < MARGIN)
+            near = self.exact(dots(x[o], self.x[c[o]]), n[o], size[o], c[o])
+            up[o] = np.abs(near) >= (10 * whole[o] + 5) / (10 * PLACES)
+            return np.where(np.abs(s) < 1e300, np.sign(s) * (whole + up) / PLACES + 0.0, s)
+
+    def best(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        """Of each query with rows to meet its k best, as structs of the negative similarity and the id. batches: id and
+        vector, in order of the ids. What is kept are the k best so far and as many pairs again that may be among them."""
+        m = len(self.qid)
+        most, step = max(1, TILE // m), k + 1
+        bar, parts, waiting = np.full(m, -np.inf), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, (x, size) = batch.column(0).to_numpy(), padded(batch.column(1))
+            x, width = np.pad(x, ((0, 0), (0, max(0, self.x.shape[1] - x.shape[1])))), x.shape[1]
+            if width > self.x.shape[1]:
+                self.x, self.unit = (np.pad(y, ((0, 0), (0, width - y.shape[1]))) for y in (self.x, self.unit))
+            n, unit, odd = self.units(x, size)
+            low, high = np.searchsorted(self.qid, ids), np.searchsorted(self.qid, ids, "right")
+            a = 0
+            while a < len(ids):
+                z, step = min(len(ids), a + min(step, most)), min(2 * step, most)
+                s = unit[a:z] @ self.unit.T
+                for r, c in ((np.flatnonzero(odd[a:z]), np.arange(m)), (np.arange(z - a), np.flatnonzero(self.odd))):
+                    if len(r) and len(c):
+                        s[np.ix_(r, c)] = self.exact(in_order(x[a:z][r], self.x[c]), n[a:z][r, None], size[a:z][r, None], c)
+                for r in np.flatnonzero(low[a:z] < high[a:z]):
+                    s[r, low[a + r] : high[a + r]] = -np.inf  # itself
+                r, c = np.divmod(np.flatnonzero(s > bar), m)
+                s = self.rounded(s[r, c], x[a:z][r], n[a:z][r], size[a:z][r], c)
+                parts.append((c.astype(np.min_scalar_type(m)), -s, ids[a:z][r]))
+                waiting += len(r)
+                if waiting > max(m * k, TILE // 8):
+                    parts, waiting = [self.cut_down(parts, k, bar)], 0
+                a = z
+        if parts:
+            c, s, ids = self.cut_down(parts, k, bar)
+            bounds = np.searchsorted(c, np.arange(m + 1))
+            some = np.flatnonzero(np.diff(bounds))
+            lists = pa.ListArray.from_arrays(pa.array(bounds[[*some, m]], pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(ids)], ["s", "id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(self.qid[some]), lists], ["qid", "best"])
+
+    def cut_down(self, parts: list[tuple[np.ndarray, ...]], k: int, bar: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k best of each query, in order. What comes later has a larger id, so that it must be rounded to more than
+        the last of the k; that raises the bar."""
+        c, s, ids = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((s, c))
+        c = c[order]
+        first = np.searchsorted(c, np.arange(len(bar)))
+        keep = np.arange(len(c)) - first[c] < k
+        order, c = order[keep], c[keep]
+        s, ids = s[order], ids[order]
+        last = np.searchsorted(c, np.arange(len(bar)), "right") - 1
+        full = np.bincount(c, minlength=len(bar)) == k
+        bar[full] = -s[last[full]] + (0.5 - MARGIN) / PLACES
+        return c, s, ids
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact cosine neighbours: qid, id, similarity, rank. queries: qid and vector `q`.
 
-    The stated queries meet all rows in blocks of at most QUERY_BLOCK; each block is broadcast, and the k best of a
-    query are kept within every task before the shuffle.
+    The stated queries meet all other rows, as matrix products in Arrow tasks: queries in blocks of about QUERY_BLOCK, each
+    sent to the tasks once; a task keeps the k best of a query and sends them as one row. Tasks are no more than
+    keep all cores busy, since each adds k rows a query. A cosine with a zero vector is 0; with one that has null
+    components or another length it is null, which is less than any other; NaN is more. Ties: smaller id.
     """
-    known = vectors.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("vn", norm(F.col("v")))
-    asked = queries.where(F.col("q").isNotNull()).select("qid", "q").withColumn("qn", norm(F.col("q")))
+    spark = vectors.sparkSession
+    known = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    asked = cut(queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).where("qid is not null and q is not null"), "queries")
     n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK * 5 // 4))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    out = None
+    blocks = -(-n * 5 // (4 * QUERY_BLOCK)) if n > QUERY_BLOCK else 1
+    tasks = min(-(-n * known.count() // (blocks * TASK_PAIRS)), -(-4 * spark.sparkContext.defaultParallelism // blocks))
+    dealt = known.repartition(max(1, tasks)).sortWithinPartitions("id")
+    lists = None
     for i in range(blocks):
-        block = F.broadcast(asked.where(F.col("block") == i).drop("block"))
-        length = F.col("vn") * F.col("qn")
-        sim = F.when(length == 0, 0.0).otherwise(dot(F.col("v"), F.col("q")) / length)
-        part = top(known.join(block, F.col("id") != F.col("qid")).select("qid", "id", F.round(sim, 6).alias("similarity")), "qid", "similarity", "id", k)
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
+        if not rows.num_rows:
+            continue
+
+        def meet(batches: Iterator[pa.RecordBatch], block: QueryBlock = QueryBlock(rows)) -> Iterator[pa.RecordBatch]:
+            return block.best(batches, k)
+
+        part = dealt.mapInArrow(meet, "qid long, best array<struct<s: double, id: long>>")
+        lists = part if lists is None else lists.unionByName(part)
+    if lists is None:
+        return spark.createDataFrame([], "qid long, id long, similarity double, rank int")
+    merged = lists.groupBy("qid").agg(F.flatten(F.collect_list("best")).alias("best"))
+    places = merged.select("qid", F.posexplode(F.slice(F.sort_array("best"), 1, k)).alias("at", "x"))
+    s = F.col("x.s")
+    similarity = F.when(s == -NULL, F.lit(None)).when(s == float("-inf"), float("nan")).otherwise(0.0 - s)
+    return places.select("qid", "x.id", similarity.cast("double").alias("similarity"), (F.col("at") + 1).alias("rank"))
 
 
 def fused(lists: list[DataFrame], k: int = FUSION) -> DataFrame:
@@ -222,10 +335,8 @@ def hashed_embedding(c: Column, size: int = 384) -> Column:
     return unit(added)
 
 
-#: Similarities have six places; how near to half of the last one it is left to exact sums which way they are rounded.
-PLACES, MARGIN = 1e6, 1e-4
-#: Components of the owners of a block, 8 MB; pairs that are scored at once; pairs of a task.
-OWNER_COMPONENTS, TILE, TASK_PAIRS = 1 << 20, 1 << 21, 40_000_000
+#: Components of the owners of a block, 8 MB.
+OWNER_COMPONENTS = 1 << 20
 
 
 class OwnerBlock:

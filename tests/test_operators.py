@@ -221,6 +221,34 @@ def test_nearest_owner_against_expressions(spark, monkeypatch):
         assert sorted(map(str, retrieval.nearest_owner(x, o, timed).collect())) == sorted(map(str, want))
 
 
+def test_nearest_against_expressions(spark, monkeypatch):
+    r = random.Random(6)
+    nan, some = float("nan"), [[r.gauss(0, 1) for _ in range(5)] for _ in range(30)]
+    odd = [None, [0.0] * 5, [], [1.0, None, 1.0, 1.0, 1.0], [1.0, 2.0], [nan, 1.0, 1.0, 1.0, 1.0], [1e200] * 5, [1e-200] * 5, [1e-161, 2e-162, 0.0, 0.0, 0.0], some[3], [2 * x for x in some[4]]]
+    halves = [[float(x == y) for y in range(5)] for x in range(2)] + [[1 / 128, (1 - 2**-14) ** 0.5, 0.0, 0.0, 0.0], [-3 / 128, 0.0, (1 - 9 / 2**14) ** 0.5, 0.0, 0.0], [1e-3 + 5e-7, 1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]]
+    monkeypatch.setattr(retrieval, "TILE", 70)
+    for stated, block, tasks, k in ((some + odd + halves, 12, 300, 4), (some[:9] * 4, 2_000, 200, 100), (odd + halves, 2_000, 10**6, 1), (halves + some[:1] * 40, 2_000, 10**6, 4), (odd[3:4] * 9, 5, 10**6, 100), ([], 5, 5, 1)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "TASK_PAIRS", tasks)
+        rows = [(i if i < 40 else i // 2, v) for i, v in enumerate(stated)]
+        r.shuffle(rows)
+        x = spark.createDataFrame([*rows, (None, some[0])], "vec_id long, embedding array<double>")
+        asked = x.where("vec_id % 3 = 0 or vec_id is null").toDF("qid", "q")
+        pairs = x.join(asked, F.expr("vec_id <> qid and embedding is not null and q is not null"))
+        pairs = pairs.select("qid", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+        want = retrieval.top(pairs, "qid", "similarity", "id", k).collect()
+        assert sorted(map(str, retrieval.nearest(x, asked, k).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ("knn_top", "judging_pool", "rrf_fused", "stories_fused", "hybrid_fused", "hybrid_stories"))
+def test_dense_search_joins_no_pairs(spark, monkeypatch, name):
+    plans, whole = [], retrieval.nearest
+    monkeypatch.setattr(retrieval, "nearest", lambda *a: plans.append(whole(*a)) or plans[-1])
+    queries.ALL[name](spark, SF)
+    plan = plans[0]._jdf.queryExecution().toString()
+    assert len(plans) == 1 and "NestedLoop" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
 def test_story_problem_links_joins_no_pairs(spark):
     plan = queries.ALL["story_problem_links"](spark, SF)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
