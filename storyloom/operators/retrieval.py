@@ -16,6 +16,8 @@ from storyloom.functions.vectors import dots, in_order, padded
 
 #: Depth of each retrieval list, and the constant of rank fusion.
 DEPTH, FUSION = 200, 60
+#: Terms of queries that are broadcast at most.
+QUERY_TERMS = 200_000
 
 
 def tokenized(articles: DataFrame) -> DataFrame:
@@ -29,10 +31,13 @@ def _tokenized(articles: DataFrame) -> DataFrame:
     return articles if "terms" in articles.columns else tokenized(articles)
 
 
-def postings(articles: DataFrame) -> DataFrame:
+def postings(articles: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """term, id, tf, length of the document in terms. articles: tokenized(), or what it takes. One shuffle by (term, id)
-    after a partial count."""
-    return tx.exploded(_tokenized(articles), "terms", "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    after a partial count. With queries only their terms, dealt by id, so that bm25() sums where they are counted."""
+    rows = tx.exploded(_tokenized(articles).select("id", "length", "terms"), "terms", "term")
+    if queries is not None:
+        rows = rows.join(query_terms(queries).select("term").distinct(), "term").repartition("id")
+    return rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,8 +50,8 @@ def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int | N
     """qid, id, score, matched, rank. index: postings(); corpus: one row with n and mean_length. Without a depth all
     scored rows come, with no rank.
 
-    Document frequencies are joined to the query's terms, which are few; the postings meet the queries in one
-    equi-join on the term and are summed with partial aggregation. Scores are rounded before they rank.
+    Document frequencies are joined to the query's terms; the postings meet both in one equi-join on the term, a
+    broadcast of at most QUERY_TERMS rows, and are summed with partial aggregation. Scores are rounded before they rank.
     """
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
@@ -56,7 +61,9 @@ def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, depth: int | N
     n, mean = (size["n"] or 0), (size["mean_length"] or 1.0)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = live.join(df, "term").join(terms, "term").groupBy("qid", "id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+    asked = terms.join(df, "term")
+    asked = F.broadcast(asked) if terms.count() <= QUERY_TERMS else asked
+    scored = live.join(asked, "term").groupBy("qid", "id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     return scored if depth is None else top(scored, "qid", "score", "id", depth)
 
 

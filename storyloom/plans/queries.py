@@ -366,7 +366,7 @@ def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     a = schemas.articles(spark, sf).select("id", "title", "body")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
     terms = cut(retrieval.tokenized(a), "terms")
-    return cut(retrieval.postings(terms), "postings"), retrieval.corpus_size(terms), queries
+    return retrieval.postings(terms, queries), retrieval.corpus_size(terms), queries
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,8 +414,9 @@ def stories_fused(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rerank_features(spark: SparkSession, sf: str) -> DataFrame:
     a, s, now = _stories(spark, sf)
-    hits = retrieval.fused_stories(_fused(spark, sf, retrieval.DEPTH), a.select("id", "story_id"))
-    lexical, dense = cut(_lexical(spark, sf), "lexical"), _dense(spark, sf, retrieval.DEPTH).withColumn("qid", F.expr("qid div 100"))
+    a = cut(a, "articles")
+    lexical, dense = cut(_lexical(spark, sf), "lexical"), cut(_dense(spark, sf, retrieval.DEPTH).withColumn("qid", F.expr("qid div 100")), "dense")
+    hits = cut(retrieval.fused_stories(retrieval.fused([lexical, dense]), a.select("id", "story_id")), "hits")
     signals = retrieval.signals(hits, ranking.story_features(a, s, now), ranking.story_summary(a, s), lexical, dense, a.select("id", "story_id"))
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("entities"))
     out = retrieval.rerank_features(queries, signals)

@@ -240,7 +240,7 @@ def test_nearest_against_expressions(spark, monkeypatch):
         assert sorted(map(str, retrieval.nearest(x, asked, k).collect())) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ("knn_top", "judging_pool", "rrf_fused", "stories_fused", "hybrid_fused", "hybrid_stories"))
+@pytest.mark.parametrize("name", ("knn_top", "judging_pool", "rrf_fused", "stories_fused", "hybrid_fused", "hybrid_stories", "rerank_features"))
 def test_dense_search_joins_no_pairs(spark, monkeypatch, name):
     plans, whole = [], retrieval.nearest
     monkeypatch.setattr(retrieval, "nearest", lambda *a: plans.append(whole(*a)) or plans[-1])
